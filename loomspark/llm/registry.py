@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from loomspark.llm import topk
+from loomspark.llm.ann import op6_neighbours
 from loomspark.llm.mixing import op1_mix
 from loomspark.llm.sharding import op4_shard
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op4_shard": op4_shard,
+    "op5_topk": topk.op5_topk,
+    "op6_neighbours": op6_neighbours,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_topk": topk.ORACLE,
+}
