@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from loomspark.llm import topk
 from loomspark.llm.ann import op6_neighbours
+from loomspark.llm.dac import op9_tokens
 from loomspark.llm.mixing import op1_mix
+from loomspark.llm.packing import op7_pack
 from loomspark.llm.sharding import op4_shard
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op4_shard": op4_shard,
     "op5_topk": topk.op5_topk,
     "op6_neighbours": op6_neighbours,
+    "op7_pack": op7_pack,
+    "op9_tokens": op9_tokens,
 }
 
 ORACLE = {
