@@ -5,16 +5,22 @@ from __future__ import annotations
 from loomspark.llm import topk
 from loomspark.llm.ann import op6_neighbours
 from loomspark.llm.dac import op9_tokens
+from loomspark.llm.langid import op2_langid
 from loomspark.llm.mixing import op1_mix
 from loomspark.llm.packing import op7_pack
+from loomspark.llm.quality import op8_quality
 from loomspark.llm.sharding import op4_shard
+from loomspark.llm.substring import op3_substring
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_langid": op2_langid,
+    "op3_substring": op3_substring,
     "op4_shard": op4_shard,
     "op5_topk": topk.op5_topk,
     "op6_neighbours": op6_neighbours,
     "op7_pack": op7_pack,
+    "op8_quality": op8_quality,
     "op9_tokens": op9_tokens,
 }
 
