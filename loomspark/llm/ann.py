@@ -105,28 +105,33 @@ def search(index: DataFrame, block, pivots: np.ndarray, longest: float, prefix:
     step = max(1, -(-(most * most + 1) // BINS))
 
     def parts(batches):
-        """Each part with the nearness of its rows to each query: prefix minus difference of places, summed over shared pivots."""
+        """Each part with the nearness of its rows to each query: prefix minus difference of places, summed over shared pivots.
+
+        Each pivot's inverted file is read once for the whole block: a posting adds a row of what it is worth to every query.
+        """
         own, q, order = shared.value
+        asked = np.full((len(pivots), len(own)), -1, np.int16)
+        for place in range(order.shape[1]):
+            asked[order[:, place], np.arange(len(own))] = place
+        places_ = np.arange(most, dtype=np.int16)[:, None]
         for b in batches:
             for row in b.to_pylist():
                 ids, starts, posted, places = (np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("starts", "<i4"), ("posted", "<i4"), ("places", "<i2")))
-                near = np.zeros((len(own), len(ids)), np.int16)
-                flat = order.ravel()
-                asked = np.argsort(flat, kind="stable")
-                first = np.searchsorted(flat[asked], np.arange(len(starts)))
-                for p in range(len(starts) - 1):
+                near = np.zeros((len(ids), len(own)), np.int16)
+                for p, there in enumerate(asked):
                     a, z = starts[p], starts[p + 1]
-                    who, at = np.divmod(asked[first[p] : first[p + 1]], most)
-                    for i, place in zip(who, at, strict=True):  # a vector is posted once a pivot, so no id repeats
-                        near[i, posted[a:z]] += (most - np.abs(places[a:z] - place)).astype(np.int16)
-                near[own[:, None] == ids[None, :]] = -1
+                    if z > a and (there >= 0).any():
+                        worth = np.where(there >= 0, most - np.abs(places_ - there), 0).astype(np.int16)
+                        near[posted[a:z]] += worth[places[a:z]]  # a vector is posted once a pivot, so no row repeats
+                near[ids[:, None] == own[None, :]] = -1
                 yield ids, row["vecs"], near
 
     def bins(batches):
-        total = np.zeros((len(own), BINS), np.int64)
+        total = np.zeros((len(own), BINS + 1), np.int64)
         for _, _, near in parts(batches):
-            line, col = np.nonzero(near >= 0)
-            total += np.bincount(line * BINS + near[line, col] // step, minlength=total.size).reshape(total.shape)
+            cell = near // np.int16(step) + np.int16(1) + (np.arange(len(own), dtype=np.int32) * (BINS + 1))[None, :]
+            total += np.bincount(cell.ravel(), minlength=total.size).reshape(total.shape)
+        total = total[:, 1:]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), *[pa.array(total[:, i], pa.int64()) for i in range(BINS)]], names=["q", *names])
 
     names = [f"h{i}" for i in range(BINS)]
@@ -142,7 +147,7 @@ def search(index: DataFrame, block, pivots: np.ndarray, longest: float, prefix:
         kept = []
         for ids, vecs, near in parts(batches):
             m = np.frombuffer(vecs, "<f8").reshape(len(ids), dim)
-            line, col = np.nonzero((near >= 0) & (near >= admitted.value[:, None]))
+            col, line = np.nonzero((near >= 0) & (near >= admitted.value[None, :].astype(np.int16)))
             for a in range(0, len(line), 1 << 17):
                 i, j = line[a : a + (1 << 17)], col[a : a + (1 << 17)]
                 kept.append((own[i], ids[j], np.einsum("ij,ij->i", q[i], m[j])))
