@@ -74,7 +74,7 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], name
     for i, c in enumerate(on):
         match = match & F.col(c).eqNullSafe(F.col(f"_llm_r{i}"))
     out = rows.join(right, match).withColumn(name, F.col("_llm_row") - F.col("_llm_first") + F.col("_llm_before"))
-    return out.select(*df.columns, name, *([total] if total else []))
+    return out.select(*[c for c in df.columns if c not in (name, total)], name, *([total] if total else []))
 
 
 def doc_key(text: str = "text") -> Column:

@@ -115,17 +115,10 @@ def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: in
                     moved = True
                     break
             else:
-                own = bins[source]
-                for x in range(len(own)):  # two for one
-                    for y in range(x):
-                        n = int(lengths[own[x]] + lengths[own[y]])
-                        ok = np.flatnonzero((n - size > 0) & (n - size <= space))
-                        if not moved and len(ok):
-                            j = ok[np.argmax((n - size)[ok])]
-                            _exchange(bins, fill, lengths, source, [own[x], own[y]], under[int(home[j])], [int(item[j])])
-                            moved = True
-                    if moved:
-                        break
+                step = _pair(bins[source], size, space, lengths)  # two for one
+                if step:
+                    _exchange(bins, fill, lengths, source, step[0], under[int(home[step[1]])], [int(item[step[1]])])
+                    moved = True
     return [b for b in bins if b]
 
 
@@ -140,6 +133,17 @@ def _two(n: int, under: list[int], bins: list[list[int]], lengths: np.ndarray, r
     return None
 
 
+def _pair(own: list[int], size: np.ndarray, space: np.ndarray, lengths: np.ndarray):
+    """Two pieces of a sequence and the place of the one elsewhere that they can replace with most gain."""
+    for x in range(1, len(own)):
+        for y in range(x):
+            gain = int(lengths[own[x]] + lengths[own[y]]) - size
+            ok = np.flatnonzero((gain > 0) & (gain <= space))
+            if len(ok):
+                return [own[x], own[y]], ok[np.argmax(gain[ok])]
+    return None
+
+
 def _exchange(bins, fill, lengths, source, out, target, back) -> None:
     for i in out:
         bins[source].remove(i)

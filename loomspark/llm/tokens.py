@@ -10,19 +10,22 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces remembered in each of two generations of a Python worker's table.
+#: Pieces that a Python worker remembers, the first it meets: frequent ones come early.
 REMEMBERED = 250_000
-#: Latin letters (of at most two bytes, dotted capital I left out), then ASCII marks other than the apostrophe.
-_PLAIN = re.compile(r"""( ?)([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)""")
+#: ASCII marks other than the apostrophe (and than white space, letters and digits).
+_MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Latin letters of two bytes at most, dotted capital I left out.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: One space before a run of other characters belongs to it; of white space before text the last character stands alone.
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: Separators that Python's \s knows and the tokenizers' doesn't.
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: White space other than blanks and line feeds; separators that Python's \s knows and the tokenizers' doesn't.
+_OTHER, _ODD = re.compile(r"[^\S \n]"), re.compile(r"[\x1c-\x1f]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,25 +38,6 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Known(dict):
-    """Piece -> bytes of its ids; the older generation goes when the younger one is full."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make, self.older = make, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.older.get(piece)
-        if got is None:
-            got = self.make(piece)
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = got
-        return got
-
-
 class Encoder:
     """Texts to the bytes of their ids (little-endian, unsigned, 32 bits)."""
 
@@ -66,23 +50,61 @@ class Encoder:
         bpe = spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.spaced = bpe and kinds == ["ByteLevel"] and not spec.get("normalizer") and steps["use_regex"] and not steps["add_prefix_space"]
         self.worded = bpe and kinds == ["Split", "ByteLevel"] and norms == ["NFC", "Replace", "Lowercase"]
-        self.known = _Known(self._piece)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.known: dict[str, bytes] = {}  # pieces as they stand, or words after a blank
+        self.first: dict[str, bytes] = {}  # words without a blank before them
 
     def _all(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if not (plain := _PLAIN.fullmatch(piece)):
-            return self._all(piece)
-        space, letters, marks = plain.groups()
-        head = space + letters if self.spaced else letters.lower()
-        ids = [t.id for part in (head, marks) if part for t in self.whole.model.tokenize("".join(map(_LETTERS.__getitem__, part.encode())))]
-        return np.array(ids, "<u4").tobytes()
+    def _bpe(self, letters: str) -> bytes:
+        if not letters.isascii() or letters[0] == " ":
+            letters = "".join(map(_LETTERS.__getitem__, letters.encode()))
+        return array("I", [t.id for t in self.whole.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str, known: dict[str, bytes], space: str) -> bytes:
+        """Ids of a word, with a blank before it or not: letters and marks by the BPE model, anything else in whole."""
+        letters = word.rstrip(_MARKS)
+        if not letters or not (letters.isalpha() if letters.isascii() else _LATIN.fullmatch(letters)):
+            return self._all(space + word)
+        if len(letters) == len(word):
+            return self._bpe(space + letters if self.spaced else letters.lower())
+        marks = word[len(letters) :]
+        return self._look(letters, known, space) + (self._look(marks, self.first, "") if self.spaced else self._bpe(marks))
+
+    def _look(self, word: str, known: dict[str, bytes], space: str) -> bytes:
+        got = known.get(word)
+        if got is None:
+            got = self._word(word, known, space)
+            if len(known) < REMEMBERED and len(word) <= 64:
+                known[word] = got
+        return got
+
+    def _words(self, words: list[str], known: dict[str, bytes], space: str) -> list[bytes]:
+        got = list(map(known.get, words))
+        if None in got:
+            for i, ids in enumerate(got):
+                if ids is None:
+                    got[i] = self._look(words[i], known, space)
+        return got
 
     def __call__(self, text: str) -> bytes:
-        if not (self.spaced or self.worded) or _ODD.search(text):
+        if any(map(text.__contains__, self.added)):
+            return self._all(text)
+        if self.worded and not _ODD.search(text):
+            return b"".join(self._words(text.split(), self.known, ""))
+        if not self.spaced or _ODD.search(text):
             return self._all(text)
-        return b"".join(map(self.known.__getitem__, _SPACED.findall(text) if self.spaced else text.split()))
+        lines = [line.split(" ") for line in text.split("\n")]
+        if _OTHER.search(text) or any("" in line for line in lines):
+            return b"".join([self._look(p[1:], self.known, " ") if p[0] == " " and p.strip() else self._look(p, self.first, "") for p in _SPACED.findall(text)])
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append(self._look("\n", self.first, ""))
+            out.append(self._look(line[0], self.first, ""))
+            out += self._words(line[1:], self.known, " ")
+        return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
