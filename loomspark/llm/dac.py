@@ -34,7 +34,7 @@ from loomspark.llm.tokens import encoder
 
 MAGIC = b"LOOMDAC1"
 #: Tokens in a segment, unless a single document has more.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 20
 #: Bytes of text that go into one file.
 FILE = 32 << 20
 _HEAD = struct.Struct("<8sqqqqq")
