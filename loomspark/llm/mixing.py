@@ -60,7 +60,8 @@ def mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST, seed: i
     goal = targets(docs, cycle, most).select(F.col("source").alias("_llm_source"), "source_size", "target")
     placed = positions(docs, ["source"], [F.col("size").desc(), F.col("doc_id")], "_llm_k")
     out = placed.join(goal, F.col("source").eqNullSafe(F.col("_llm_source")))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\x00null"))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit("(null)"))))
+    offset = F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     step = lambda k: F.floor(rate * k + offset)
     copies = F.least(step(F.col("_llm_k") + 1) - step(F.col("_llm_k")), F.lit(most)).cast("long")
@@ -77,3 +78,31 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
     sized = mix(with_size(docs.select("doc_id", "text", "lang", "source", "n_chars")))
     return sized.withColumn("_llm_i", F.explode(F.expr("array_repeat(0, cast(copies as int))"))).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+#: Sources in rising order of the share at which they stop: those before the first whose share isn't reached are full.
+ORACLE = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS w
+  FROM sized GROUP BY source
+), filled AS (
+  SELECT *, {MOST} * source_size AS stop, sum({MOST} * source_size) OVER o AS stopped, sum(w) OVER o AS used,
+         sum(source_size) OVER () AS total, sum(w) OVER () AS weights,
+         count(*) OVER o AS before
+  FROM sources WINDOW o AS (ORDER BY {MOST} * source_size / CAST(w AS DOUBLE), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), shares AS (
+  SELECT *, (total - coalesce(stopped, 0)) / CAST(weights - coalesce(used, 0) AS DOUBLE) AS share FROM filled
+), goal AS (
+  SELECT source, source_size, least(CAST(stop AS DOUBLE), w * (SELECT arg_min(share, before) FROM shares WHERE w * share <= stop)) AS target FROM shares
+), placed AS (
+  SELECT d.*, g.source_size, g.target, row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) - 1 AS k,
+         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
+         CAST('0x' || substr(md5('17/' || coalesce(d.source, '(null)')), 1, 5) AS BIGINT) / CAST(1048576 AS DOUBLE) AS u
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(least(floor(rate * (k + 1) + u) - floor(rate * k + u), {MOST}) * size AS BIGINT) AS taken
+FROM placed
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import topk
+from loomspark.llm import jaccard, mixing, sharding, topk
 from loomspark.llm.ann import op6_neighbours
 from loomspark.llm.dac import op9_tokens
 from loomspark.llm.jaccard import op10_jaccard
@@ -39,5 +39,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_mix": mixing.ORACLE,
+    "op4_shard": sharding.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op10_jaccard": jaccard.ORACLE,
 }

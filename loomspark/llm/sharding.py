@@ -87,3 +87,45 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = shard(docs, Tree.balanced(), order=[F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def oracle(tree: Tree) -> str:
+    """The same law as SQL for an independent engine: draws by MD5, CRC-32 by its table, slots by a window."""
+
+    def draw_sql(node: str, weight: float) -> str:
+        bits = f"CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/{node}'), 1, 13) AS BIGINT) AS DOUBLE)"
+        return f"(-ln(({bits} + 0.5) / 4503599627370496.0) / {float(weight)!r})"
+
+    def first(nodes: list[tuple[str, float]]) -> str:
+        draws = ", ".join(draw_sql(*n) for n in nodes)
+        return f"list_position([{draws}], list_min([{draws}])) - 1"
+
+    def levels(t: Tree, name: str) -> str:
+        base, cases = 0, []
+        for i, racks in enumerate(t.regions):
+            inner = []
+            for j, weights in enumerate(racks):
+                inner.append(f"WHEN {j} THEN {base} + {first([(f'r{i}k{j}s{k}', w) for k, w in enumerate(weights)])}")
+                base += len(weights)
+            cases.append(f"WHEN {i} THEN CASE {first([(f'r{i}k{j}', sum(ws)) for j, ws in enumerate(racks)])} {' '.join(inner)} END")
+        return f"CAST(CASE {first([(f'r{i}', sum(map(sum, r))) for i, r in enumerate(t.regions)])} {' '.join(cases)} END AS INTEGER) AS {name}"
+
+    return f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab
+), hashed AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size,
+         CASE WHEN text = '' THEN CAST(0 AS BIGINT) WHEN text IS NOT NULL THEN xor(list_reduce(list_transform(range(strlen(text)),
+           lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) END AS text_crc32
+  FROM documents, crc
+), placed AS (
+  SELECT *, {levels(tree, "shard")}, {levels(tree.grow(), "grown_shard")} FROM hashed
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM placed
+"""
+
+
+ORACLE = oracle(Tree.balanced())
