@@ -45,7 +45,7 @@ class Catalogue:
         from loomspark.tables import register
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            register(spark, sf_dir)
+            register(spark, sf_dir, sql)
             return spark.sql(sql)
 
         self.queries[name], self.oracle[name] = run, sql

@@ -164,7 +164,7 @@ GROUP BY cntrycode ORDER BY cntrycode""",
 
 def query(number: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, TEXTS[number])
         return spark.sql(TEXTS[number])
 
     return run

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +22,11 @@ def partsupp(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views of the star-schema tables."""
+def register(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """Temporary views of the star-schema tables, or of those that a text mentions."""
     for name in STAR:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if sql is None or re.search(rf"\b{name}\b", sql):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 #: The derived table as a common table expression.
