@@ -16,7 +16,7 @@ def spark():
 
     session = get_spark(
         f"local[{os.environ.get('TEST_CPUS', '4')}]", "tests",
-        spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g", spark__ui__showConsoleProgress="false",
+        spark__sql__ansi__enabled=os.environ.get("TEST_ANSI", "false"), spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="6g", spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
