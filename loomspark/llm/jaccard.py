@@ -36,9 +36,13 @@ from loomspark.llm.blocks import small, split, unsmall
 from loomspark.llm.common import chunks, components, materialize, mix64, scratch_path, shingle_hashes, word_hashes, word_spans
 
 #: Signatures that a bucket is made for.
-BUCKET = 1 << 21
+BUCKET = 1 << 19
 #: Bytes of text whose signatures are packed together.
 PACK = 24 << 20
+#: Parts of the universe whose counts bound a pair's difference before whole sets are compared.
+COUNTS = 128
+#: Postings compared across components in one task.
+ACROSS = 40_000
 #: Ids of candidate documents sent to every executor (8 bytes each), beyond which they are joined by shuffle.
 SENT = 2_000_000
 
@@ -56,6 +60,11 @@ def class_of(s: np.ndarray) -> int:
         return int(mix64(mix64(s ^ np.uint64(0x51ED270B)).sum(dtype=np.uint64) + np.uint64(len(s)))) & ((1 << 63) - 1) if len(s) else -1
 
 
+def counts_of(s: np.ndarray) -> bytes:
+    """How many of a set's shingles fall into each of ``COUNTS`` parts (255 for more)."""
+    return np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % COUNTS, minlength=COUNTS), 255).astype(np.uint8).tobytes()
+
+
 class Bands:
     """Size bands and, for each, how many segments there are and how many of them are spare."""
 
@@ -133,7 +142,7 @@ def signatures(s: np.ndarray, band: int, shape: tuple[int, int]) -> np.ndarray:
 
 
 def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None:
-    """Write kind 0: (doc_id, size, class) of all rows, packed; kind 1: packed signatures and classes by bucket."""
+    """Write kind 0: (doc_id, size, class, counts) of all rows; kind 1: packed signatures and classes by bucket."""
     bands = Bands(percent)
 
     def work(batches):
@@ -144,10 +153,11 @@ def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None
             ids = b.column("doc_id")
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for a, z in chunks(lengths, PACK):
-                size, of, sigs, owner = np.zeros(z - a, np.int64), np.full(z - a, -1, np.int64), [], []
+                size, of, counts, sigs, owner = np.zeros(z - a, np.int64), np.full(z - a, -1, np.int64), [], [], []
                 for i, t in enumerate(texts[a:z].to_pylist()):
                     s = shingle_set(t.encode("utf-8", "surrogatepass"), n) if t else np.zeros(0, np.uint64)
                     size[i], of[i] = len(s), class_of(s)
+                    counts.append(counts_of(s))
                     if len(s) and of[i] not in sent:
                         if len(sent) < 1 << 20:
                             sent.add(of[i])
@@ -156,7 +166,7 @@ def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None
                                 got = signatures(s, key, bands.shape(key))
                                 sigs.append(got)
                                 owner.append((len(got), i))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * (z - a), pa.int32()), ids[a:z], pa.array(size), pa.array(of), pa.nulls(z - a, pa.int32()), pa.nulls(z - a, pa.binary()), pa.nulls(z - a, pa.binary()), pa.nulls(z - a, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (z - a), pa.int32()), ids[a:z], pa.array(size), pa.array(of), pa.nulls(z - a, pa.int32()), pa.array(counts, pa.binary()), *[pa.nulls(z - a, pa.binary())] * 2], names=names)
                 if not sigs:
                     continue
                 sig, who = np.concatenate(sigs), np.repeat([i for _, i in owner], [k for k, _ in owner])
@@ -222,8 +232,12 @@ def stars(found: DataFrame) -> DataFrame:
     return found.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def across(found: DataFrame, comp: DataFrame) -> DataFrame:
-    """Candidate pairs of classes that share a signature and lie in different components."""
+def across(found: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of classes that share a signature and lie in different components.
+
+    A signature's classes are compared inside one task, on their components, sizes and counts by part of the
+    universe; only pairs that may link leave it, so what moves doesn't grow with the square of a group.
+    """
 
     def rows(batches):
         for batch in batches:
@@ -234,17 +248,46 @@ def across(found: DataFrame, comp: DataFrame) -> DataFrame:
     flat = flat.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     mixed = flat.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
     flat = materialize(flat.join(mixed, "sig"), "across")
-    left = flat.select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"))
-    right = flat.select("sig", F.col("class").alias("b"), F.col("comp").alias("cb"))
-    return left.join(right, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
+    buckets = max(8, flat.count() // ACROSS)
+    full = flat.join(known.select("class", "size", "counts"), "class").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(buckets)))
+
+    def pairs(table):
+        table = table.sort_by("sig")
+        sig, cls, of, size = (table.column(x).to_numpy() for x in ("sig", "class", "comp", "size"))
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
+        out = []
+        for s, e in zip(first.tolist(), np.append(first[1:], len(sig)).tolist(), strict=True):
+            for i in range(s, e - 1):
+                j = np.flatnonzero((of[i + 1 : e] != of[i]) & (np.minimum(size[i + 1 : e], size[i]) * 100 >= np.maximum(size[i + 1 : e], size[i]) * percent)) + i + 1
+                if len(j):
+                    far = np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64)
+                    j = j[far * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
+                    out.append(np.stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])], 1))
+        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
+
+    return full.select("bucket", "sig", "class", "comp", "size", "counts").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets link, on whole sets. ``known``: (class, doc_id, size) of a document of each class."""
+    """The pairs whose sets link, on whole sets. ``known``: (class, doc_id, size, counts) of a document of each class.
+
+    Pairs whose sizes, or whose counts by part of the universe, show too large a difference go first: the counts'
+    difference is at most the sets'.
+    """
     pairs = materialize(pairs, "pairs")
-    sizes = known.select("class", "size")
-    near = pairs.join(sizes.select(F.col("class").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("size").alias("nb")), "b")
-    near = materialize(near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "pairs")
+    side = lambda x: known.select(F.col("class").alias(x), F.col("size").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+
+    def close(batches):
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16) for x in ("ca", "cb"))
+            size = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            ok = pa.array(np.abs(one - two).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * size)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
+
+    near = materialize(near.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(close, "a long, b long"), "pairs")
     asked = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
     wanted = materialize(known.join(asked, "class").select(F.col("doc_id").alias("_llm_id"), F.col("class").alias("_llm_class")), "wanted")
     hint = F.broadcast if wanted.count() <= SENT else (lambda x: x)
@@ -285,16 +328,17 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     path = scratch_path(spark, "shingles")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     post(docs, path, n, percent, max(8, total // 16 // BUCKET))
-    form = "doc_id long, size long, class long, kind int"
+    form = "doc_id long, size long, class long, sigs binary, kind int"
     rows = spark.read.schema(form).parquet(path).where("kind = 0").drop("kind")
-    known = materialize(rows.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size")), "classes")
+    known = rows.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("sigs").alias("counts"))
+    known = materialize(known, "classes")
     blank = spark.createDataFrame([], "a long, b long")
     comp = None
     if spark.read.schema("bucket int, kind int").parquet(path).where("kind = 1").limit(1).count():
         found = groups(spark, path, scratch_path(spark, "groups"))
         links = materialize(verified(docs, stars(found), known, n, percent), "links")
         comp = materialize(components(links, "a", "b"), "components")
-        more = materialize(verified(docs, across(found, comp), known, n, percent), "links")
+        more = materialize(verified(docs, across(found, comp, known, percent), known, n, percent), "links")
         if more.limit(1).count():
             comp = materialize(components(links.union(more), "a", "b"), "components")
     comp = components(blank, "a", "b") if comp is None else comp
