@@ -32,7 +32,7 @@ ENDS = 3
 RUN = 25
 BLOCK = 6 << 20
 #: Digests that a shard is made for.
-SHARD = 1 << 21
+SHARD = 1 << 19
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
