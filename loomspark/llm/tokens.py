@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces that a Python worker remembers, the first it meets: frequent ones come early.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: ASCII marks other than the apostrophe (and than white space, letters and digits).
 _MARKS = r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""
 #: Latin letters of two bytes at most, dotted capital I left out.
