@@ -65,6 +65,10 @@ def by_shard(g: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     return split((mix64((g >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(shards)).astype(np.int64))
 
 
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(p) for p in parts])) if parts else np.zeros(0, np.uint64)
+
+
 def asks(shards: int, block: int):
     """What a block asks: 1 its distinct n-grams, 2 counts of those of its training documents."""
 
@@ -79,8 +83,8 @@ def asks(shards: int, block: int):
                 one, n = np.unique(picked, return_counts=True)
                 for s, at in by_shard(one, shards):
                     yield 2, s, squeeze(one[at]), small(n[at], "<u8")
-            seen.append(np.unique(g))
-        every = np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]
+            seen.append(g)
+        every = distinct(seen)
         for s, at in by_shard(every, shards):
             yield 1, s, squeeze(every[at]), None
 
@@ -188,7 +192,7 @@ def train(spark: SparkSession, path: str, lists: DataFrame, blocks: int) -> tupl
 
 
 def answer(requests: DataFrame, blocks: int, counts: DataFrame, model: Model) -> DataFrame:
-    """Rows (block, data, more): the blocks' requests with their answers, shard by shard, ``FAN`` blocks at a time."""
+    """Rows (block, shard, more): answers in the order of the requests, shard by shard, ``FAN`` blocks at a time."""
     salts = max(1, -(-blocks // FAN))
     shared = requests.sparkSession.sparkContext.broadcast(model)
     asked = requests.select("block", "shard", "data").withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
@@ -201,9 +205,9 @@ def answer(requests: DataFrame, blocks: int, counts: DataFrame, model: Model) ->
             parts = [loosen(d.as_py()) for d in requests.column("data")[a : a + 16]]
             got = np.rint(shared.value.bits(np.concatenate(parts), g, n) * (1 << _BITS)).astype(np.uint16)
             out += [small(x, "<u2") for x in np.split(got, np.cumsum([len(p) for p in parts])[:-1])]
-        return requests.select(["block", "data"]).append_column("more", pa.array(out, pa.binary()))
+        return requests.select(["block", "shard"]).append_column("more", pa.array(out, pa.binary()))
 
-    return counts.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(reply, "block long, data binary, more binary")
+    return counts.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(reply, "block long, shard int, more binary")
 
 
 def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -225,23 +229,22 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     packed = kind(docs, path, 0).select("block", "data")
 
     def judge(held, answers):
-        keys = np.concatenate([loosen(d.as_py()) for d in answers.column("data")]) if answers.num_rows else np.zeros(0, np.uint64)
-        bits = np.concatenate([unsmall(m.as_py(), "<u2") for m in answers.column("more")]) if answers.num_rows else np.zeros(0, np.uint16)
-        order = np.argsort(keys)
-        keys, bits = keys[order], bits[order].astype(np.float64) / (1 << _BITS)
-        out = []
-        for data in held.column("data"):
-            table = documents(data.as_py())
-            texts = encoded(table)
-            mean = np.full(len(texts), np.nan)
-            for a, z in chunks([len(t) for t in texts], 1 << 20):
-                g, sizes = grams(texts[a:z])
-                some = np.flatnonzero(sizes)
-                if len(some):
-                    starts = (np.cumsum(sizes) - sizes)[some]
-                    mean[a + some] = np.add.reduceat(bits[np.searchsorted(keys, g)], starts) / sizes[some]
-            out.append(table.append_column("_llm_bits", pa.array(mean, mask=np.isnan(mean))))
-        return pa.concat_tables(out)
+        table = documents(held.column("data")[0].as_py())  # a block is one row
+        texts = encoded(table)
+        got = dict(zip(answers.column("shard").to_pylist(), answers.column("more"), strict=True))
+        runs = list(chunks([len(t) for t in texts], 1 << 20))
+        keys = distinct([grams(texts[a:z])[0] for a, z in runs])
+        bits = np.zeros(len(keys))
+        for s, at in by_shard(keys, shards):
+            bits[at] = unsmall(got[s].as_py(), "<u2") / (1 << _BITS)
+        mean = np.full(len(texts), np.nan)
+        for a, z in runs:
+            g, sizes = grams(texts[a:z])
+            some = np.flatnonzero(sizes)
+            if len(some):
+                starts = (np.cumsum(sizes) - sizes)[some]
+                mean[a + some] = np.add.reduceat(bits[np.searchsorted(keys, g)], starts) / sizes[some]
+        return table.append_column("_llm_bits", pa.array(mean, mask=np.isnan(mean)))
 
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(judge, form(docs) + ", _llm_bits double")
 
