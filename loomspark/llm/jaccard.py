@@ -40,7 +40,7 @@ BUCKET = 1 << 19
 #: Bytes of text whose signatures are packed together.
 PACK = 24 << 20
 #: Parts of the universe whose counts bound a pair's difference before whole sets are compared.
-COUNTS = 128
+COUNTS = 512
 #: Postings compared across components in one task.
 ACROSS = 40_000
 #: Ids of candidate documents sent to every executor (8 bytes each), beyond which they are joined by shuffle.
