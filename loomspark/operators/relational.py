@@ -119,6 +119,16 @@ for _kind, _sql in (("semi", ""), ("anti", "NOT ")):
         lambda t, k=_kind: t.customer.join(_busy(t).where("o_totalprice > 400000"), c("c_custkey") == c("o_custkey"), f"left_{k}").select("c_custkey", "c_name")
     )
 
+# The same operators over every row of customer and orders; rows go unmatched by a condition on values.
+for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+    query(f"SELECT c_custkey, c_name, o_orderkey FROM customer {_sql} orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 50", f"join_{_kind}_whole")(
+        lambda t, k=_kind: t.customer.join(t.orders, (c("c_custkey") == c("o_custkey")) & (c("o_totalprice") > c("c_acctbal") * 50), k).select("c_custkey", "c_name", "o_orderkey")
+    )
+for _kind, _sql in (("semi", ""), ("anti", "NOT ")):
+    query(f"SELECT c_custkey, c_name FROM customer WHERE {_sql}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)", f"join_{_kind}_whole")(
+        lambda t, k=_kind: t.customer.join(t.orders, (c("c_custkey") == c("o_custkey")) & (c("o_totalprice") > c("c_acctbal") * 50), f"left_{k}").select("c_custkey", "c_name")
+    )
+
 
 @query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice > o_totalprice / 4")
 def join_inner_residual(t: Tables) -> DataFrame:
@@ -367,6 +377,29 @@ def union_distinct(t: Tables) -> DataFrame:
     a, b = _sides(t)
     return a.union(b).distinct()
 
+# The same operators over every row of customer and supplier.
+_WHOLE_A, _WHOLE_B = "SELECT c_nationkey AS k, floor(c_acctbal / 1000) AS b FROM customer", "SELECT s_nationkey AS k, floor(s_acctbal / 1000) AS b FROM supplier"
+
+
+def _whole_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.customer.select(c("c_nationkey").alias("k"), F.floor(c("c_acctbal") / 1000).alias("b")), t.supplier.select(c("s_nationkey").alias("k"), F.floor(c("s_acctbal") / 1000).alias("b"))
+
+
+for _name, _word in (("union_all", "unionAll"), ("intersect", "intersect"), ("except", "subtract"), ("intersect_all", "intersectAll"), ("except_all", "exceptAll")):
+    query(f"{_WHOLE_A} {_name.replace('_', ' ').upper()} {_WHOLE_B}", f"{_name}_whole")(lambda t, w=_word: getattr(_whole_sides(t)[0], w)(_whole_sides(t)[1]))
+
+
+@query(f"{_WHOLE_A} UNION ALL {_WHOLE_B} UNION ALL SELECT n_nationkey AS k, 0 AS b FROM nation")
+def union_all_three_whole(t: Tables) -> DataFrame:
+    a, b = _whole_sides(t)
+    return a.union(b).union(t.nation.select(c("n_nationkey").alias("k"), F.lit(0).alias("b")))
+
+
+@query(f"{_WHOLE_A} UNION {_WHOLE_B}")
+def union_distinct_whole(t: Tables) -> DataFrame:
+    a, b = _whole_sides(t)
+    return a.union(b).distinct()
+
 
 @query("SELECT c_custkey AS id, c_nationkey AS nation FROM customer UNION ALL SELECT s_suppkey, s_nationkey FROM supplier")
 def union_by_name(t: Tables) -> DataFrame:
