@@ -99,6 +99,11 @@ def sealed_timestamps(t: Tables) -> DataFrame:
     return _sealed(t, t.events.where("event_id < 2000").select("event_id", "ts", "value"))
 
 
+@query("SELECT event_id, ts, value FROM events")
+def sealed_timestamps_whole(t: Tables) -> DataFrame:
+    return _sealed(t, t.events.select("event_id", "ts", "value"))
+
+
 @query("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
 def sealed_filter_agg(t: Tables) -> DataFrame:
     opened = _sealed(t, t.orders)

@@ -28,3 +28,7 @@ def test_joins_and_sets_take_all_rows(spark, sf_dir):
     assert got["inner"] < orders
     assert count(spark, sf_dir, "union_all") == customers + suppliers
     assert count(spark, sf_dir, "intersect_all") + count(spark, sf_dir, "except_all") == customers
+
+
+def test_all_timestamps_are_sealed(spark, sf_dir):
+    assert count(spark, sf_dir, "sealed_timestamps") == table(spark, sf_dir, "events").count()
