@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -27,8 +28,6 @@ from loomspark.llm.tokens import encoder
 CAPACITY = 4096
 #: Pieces packed together.
 GROUP = 40_000
-#: Sequences that local search tries to empty in a group, emptiest first.
-TRIES = 64
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -79,68 +78,142 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Local search: empty the emptiest sequences into the rooms of the others; every step raises the squared fill."""
+class _Rooms:
+    """Of the sequences that may take a piece: by room, and by what one or two of their pieces add up to."""
+
+    def __init__(self, bins: list[list[int]], fill: list[int], lengths: np.ndarray, capacity: int) -> None:
+        self.bins, self.fill, self.lengths, self.capacity = bins, fill, lengths, capacity
+        self.of_room: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.some = np.zeros(capacity + 1, bool)
+        #: By sum, sequences as (-room, sequence, version), and the largest piece that can take the sum's place (below it if none can).
+        self.heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+        self.reach = [np.arange(capacity + 1) - 1 for _ in range(2)]
+        self.version = [0] * len(bins)
+        self.sums: dict[int, tuple[list[int], list[int]]] = {}
+
+    def add(self, b: int) -> None:
+        room, version = self.capacity - self.fill[b], self.version[b]
+        if not room or b in self.sums:
+            return
+        size = self.lengths[self.bins[b]]
+        x, y = np.triu_indices(len(size), 1)
+        two = size[x] + size[y]
+        self.sums[b] = np.unique(size).tolist(), np.unique(two).tolist()
+        for sums, heaps, reach in zip(self.sums[b], self.heaps, self.reach, strict=True):
+            for n in sums:
+                heappush(heaps[n], (-room, b, version))
+                reach[n] = max(reach[n], n + room)
+        self.of_room[room].add(b)
+        self.some[room] = True
+
+    def remove(self, b: int) -> None:
+        """To be called before the sequence changes."""
+        if b not in self.sums:
+            return
+        self.version[b] += 1
+        for sums, heaps, reach in zip(self.sums.pop(b), self.heaps, self.reach, strict=True):
+            for n in sums:
+                heap = heaps[n]
+                while heap and self.version[heap[0][1]] != heap[0][2]:
+                    heappop(heap)
+                reach[n] = n - heap[0][0] if heap else n - 1
+        room = self.capacity - self.fill[b]
+        self.of_room[room].discard(b)
+        self.some[room] = bool(self.of_room[room])
+
+    def roomy(self, n: int) -> int | None:
+        """The fullest sequence with room for a piece."""
+        at = int(np.argmax(self.some[n:])) + n
+        return next(iter(self.of_room[at])) if self.some[at] else None
+
+    def instead(self, n: int, many: int) -> tuple[int, list[int]] | None:
+        """A sequence and one or two of its pieces whose place n tokens can take with most gain."""
+        ok = self.reach[many - 1][:n] >= n
+        at = int(np.argmax(ok)) if n else 0
+        if not n or not ok[at]:
+            return None
+        b = self.heaps[many - 1][at][0][1]
+        own = self.bins[b]
+        if many == 1:
+            return b, [next(i for i in own if self.lengths[i] == at)]
+        seen: dict[int, int] = {}
+        for i in own:
+            size = int(self.lengths[i])
+            if at - size in seen:
+                return b, [seen[at - size], i]
+            seen[size] = i
+        return None
+
+
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Local search: empty the emptiest sequences into the rooms of the others; every step raises the squared fill.
+
+    Each round tries every underfull sequence, against all those at least as full. It ends with a round that empties
+    none, or at the lower bound.
+    """
     fill = [int(lengths[b].sum()) for b in map(np.array, bins)]
-    least = -(-sum(fill) // capacity)
-    for source in sorted(range(len(bins)), key=fill.__getitem__)[:tries]:
-        if sum(map(bool, bins)) <= least:
-            break
-        moved = True
-        while bins[source] and moved:
-            moved = False
-            under = [t for t in range(len(bins)) if t != source and bins[t] and fill[source] <= fill[t] < capacity]
-            if not under:
-                break
-            room = np.array([capacity - fill[t] for t in under])
-            item = np.concatenate([bins[t] for t in under])
-            home = np.repeat(np.arange(len(under)), [len(bins[t]) for t in under])
-            size, space = lengths[item], room[home]
-            for a in sorted(bins[source], key=lambda i: -lengths[i]):
-                n = int(lengths[a])
-                fits = np.flatnonzero(room >= n)
-                if len(fits):  # move
-                    step = (int(fits[np.argmin(room[fits])]), [])
-                else:
-                    gain = n - size
-                    ok = np.flatnonzero((gain > 0) & (gain <= space))
-                    step = None
-                    if len(ok):  # one for one
-                        j = ok[np.argmax(gain[ok])]
-                        step = (int(home[j]), [int(item[j])])
-                    if step is None:
-                        step = _two(n, under, bins, lengths, room)  # one for two
-                if step:
-                    _exchange(bins, fill, lengths, source, [a], under[step[0]], step[1])
-                    moved = True
+    least, left = -(-sum(fill) // capacity), len(bins)
+    if left <= least:
+        return [b for b in bins if b]
+    rooms = _Rooms(bins, fill, lengths, capacity)
+    before = left + 1
+    while least < left < before:
+        before = left
+        todo = [(f, b) for b, f in enumerate(fill) if bins[b] and f < capacity]
+        for _, b in todo:
+            rooms.add(b)
+        heapify(todo)
+        aside: list[tuple[int, int]] = []  # tried, and emptier than the source
+        tried: set[int] = set()  # tried, and not emptier than the source
+        while todo and left > least:
+            f, source = heappop(todo)
+            if f != fill[source]:  # has become fuller
+                if fill[source] < capacity:
+                    heappush(todo, (fill[source], source))
+                continue
+            for b in [b for b in tried if fill[b] < f]:
+                tried.remove(b)
+                rooms.remove(b)
+                heappush(aside, (-fill[b], b))
+            rooms.remove(source)
+            while bins[source]:
+                while aside and -aside[0][0] >= fill[source]:
+                    b = heappop(aside)[1]
+                    tried.add(b)
+                    rooms.add(b)
+                step = _step(rooms, bins[source], lengths)
+                if step is None:
                     break
+                out, target, back = step
+                rooms.remove(target)
+                _exchange(bins, fill, lengths, source, out, target, back)
+                rooms.add(target)
+            if bins[source]:
+                heappush(aside, (-fill[source], source))
             else:
-                step = _pair(bins[source], size, space, lengths)  # two for one
-                if step:
-                    _exchange(bins, fill, lengths, source, step[0], under[int(home[step[1]])], [int(item[step[1]])])
-                    moved = True
+                left -= 1
     return [b for b in bins if b]
 
 
-def _two(n: int, under: list[int], bins: list[list[int]], lengths: np.ndarray, room: np.ndarray):
-    """A sequence and two of its pieces that a piece of length n can replace with gain, in the roomiest sequences."""
-    for k in np.argsort(-room)[:32]:
-        own = sorted((int(lengths[i]), i) for i in bins[under[k]])
-        for x in range(1, len(own)):
-            for y in range(x):
-                if 0 < n - own[x][0] - own[y][0] <= room[k]:
-                    return int(k), [own[x][1], own[y][1]]
-    return None
-
-
-def _pair(own: list[int], size: np.ndarray, space: np.ndarray, lengths: np.ndarray):
-    """Two pieces of a sequence and the place of the one elsewhere that they can replace with most gain."""
-    for x in range(1, len(own)):
-        for y in range(x):
-            gain = int(lengths[own[x]] + lengths[own[y]]) - size
-            ok = np.flatnonzero((gain > 0) & (gain <= space))
-            if len(ok):
-                return [own[x], own[y]], ok[np.argmax(gain[ok])]
+def _step(rooms: _Rooms, own: list[int], lengths: np.ndarray) -> tuple[list[int], int, list[int]] | None:
+    """Pieces of a sequence, another sequence, and the pieces of it that they replace."""
+    one = {int(lengths[i]): i for i in own}
+    for n in sorted(one, reverse=True):
+        target = rooms.roomy(n)
+        if target is not None:
+            return [one[n]], target, []
+        step = rooms.instead(n, 1) or rooms.instead(n, 2)
+        if step:
+            return [one[n]], *step
+    if len(own) > 1:  # two for one
+        size, best = lengths[own], np.maximum.accumulate(rooms.reach[0])
+        x, y = np.triu_indices(len(own), 1)
+        n = size[x] + size[y]
+        ok = np.flatnonzero(best[n - 1] >= n)
+        if len(ok):
+            at = ok[np.argmax(n[ok])]
+            target, back = rooms.instead(int(n[at]), 1)
+            return [own[x[at]], own[y[at]]], target, back
     return None
 
 
