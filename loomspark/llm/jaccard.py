@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import small, split, unsmall
-from loomspark.llm.common import chunks, components, materialize, mix64, scratch_path, shingle_hashes, word_hashes, word_spans
+from loomspark.llm.common import chunks, components, doc_key, materialize, mix64, scratch_path, shingle_hashes, word_hashes, word_spans
 
 #: Signatures that a bucket is made for.
 BUCKET = 1 << 19
@@ -142,7 +142,7 @@ def signatures(s: np.ndarray, band: int, shape: tuple[int, int]) -> np.ndarray:
 
 
 def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None:
-    """Write kind 0: (doc_id, size, class, counts) of all rows; kind 1: packed signatures and classes by bucket."""
+    """Write kind 0: (doc_id, key, size, class, counts) of all rows; kind 1: packed signatures and classes by bucket."""
     bands = Bands(percent)
 
     def work(batches):
@@ -150,7 +150,7 @@ def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None
         number = TaskContext.get().partitionId()
         for b in batches:
             texts = b.column("text")
-            ids = b.column("doc_id")
+            ids, keys = b.column("doc_id"), b.column("key")
             lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
             for a, z in chunks(lengths, PACK):
                 size, of, counts, sigs, owner = np.zeros(z - a, np.int64), np.full(z - a, -1, np.int64), [], [], []
@@ -161,23 +161,23 @@ def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None
                     if len(s) and of[i] not in sent:
                         if len(sent) < 1 << 20:
                             sent.add(of[i])
-                        for key in bands.keys(len(s)):
-                            if bands.shape(key)[0] > 1:  # else only equal sets link
-                                got = signatures(s, key, bands.shape(key))
+                        for band in bands.keys(len(s)):
+                            if bands.shape(band)[0] > 1:  # else only equal sets link
+                                got = signatures(s, band, bands.shape(band))
                                 sigs.append(got)
                                 owner.append((len(got), i))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * (z - a), pa.int32()), ids[a:z], pa.array(size), pa.array(of), pa.nulls(z - a, pa.int32()), pa.array(counts, pa.binary()), *[pa.nulls(z - a, pa.binary())] * 2], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (z - a), pa.int32()), ids[a:z], keys[a:z], pa.array(size), pa.array(of), pa.nulls(z - a, pa.int32()), pa.array(counts, pa.binary()), *[pa.nulls(z - a, pa.binary())] * 2], names=names)
                 if not sigs:
                     continue
                 sig, who = np.concatenate(sigs), np.repeat([i for _, i in owner], [k for k, _ in owner])
                 for bucket, at in split((sig % np.uint64(buckets)).astype(np.int64)):
                     local, place = np.unique(who[at], return_inverse=True)
-                    row = [1, None, len(at), number, bucket, sig[at].astype("<u8").tobytes(), small(np.diff(place, prepend=0), "<u2") if len(local) < 1 << 16 else small(np.diff(place, prepend=0), "<u4"), of[local].astype("<i8").tobytes()]
+                    row = [1, None, None, len(at), number, bucket, sig[at].astype("<u8").tobytes(), small(np.diff(place, prepend=0), "<u2") if len(local) < 1 << 16 else small(np.diff(place, prepend=0), "<u4"), of[local].astype("<i8").tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    names = ["kind", "doc_id", "size", "class", "bucket", "sigs", "places", "classes"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    rows = docs.mapInArrow(work, "kind int, doc_id long, size long, class long, bucket int, sigs binary, places binary, classes binary")
+    names = ["kind", "doc_id", "key", "size", "class", "bucket", "sigs", "places", "classes"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    rows = docs.mapInArrow(work, "kind int, doc_id long, key long, size long, class long, bucket int, sigs binary, places binary, classes binary")
     rows.write.partitionBy("kind").option("compression", "none").parquet(path)
 
 
@@ -319,16 +319,16 @@ def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, n: int, percen
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Rows (doc_id, n_shingles, class, component, component_id) of all ``docs`` (doc_id, text).
+    """Rows (doc_id, key, n_shingles, class, component, component_id) of all ``docs`` (doc_id, text).
 
-    class: digest of the set (-1 if empty); component: smallest class reachable; component_id: smallest doc_id.
+    key: ``doc_key`` of the text; class: digest of the set (-1 if empty); component: smallest class reachable; component_id: smallest doc_id.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     path = scratch_path(spark, "shingles")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    post(docs, path, n, percent, max(8, total // 16 // BUCKET))
-    form = "doc_id long, size long, class long, sigs binary, kind int"
+    post(docs.withColumn("key", doc_key()), path, n, percent, max(8, total // 16 // BUCKET))
+    form = "doc_id long, key long, size long, class long, sigs binary, kind int"
     rows = spark.read.schema(form).parquet(path).where("kind = 0").drop("kind")
     known = rows.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("sigs").alias("counts"))
     known = materialize(known, "classes")
@@ -346,7 +346,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = classes.join(least, "component").select("class", "component", "component_id")
     out = rows.join(by_class, "class", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), "class", "component", F.when(F.col("class") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "key", F.col("size").alias("n_shingles"), "class", "component", F.when(F.col("class") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,15 +354,27 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (five words, 0.8) the document of the smallest doc_id stays.
+    """Pipeline stage: of each group of near copies (five words, 0.8) one row stays.
 
-    Documents without a set stay. Of rows that repeat a doc_id with the same text, one stays.
+    It is the row of the smallest doc_id, null last, and among rows that repeat this doc_id that of the smallest digest
+    of the text; of rows equal in both any one. Other texts under the doc_id of a copy stay. Rows without a set all stay.
     """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    marked = join(docs, 5, 80).where("doc_id <> component_id").select(F.col("doc_id").alias("_llm_id")).distinct()
-    marked = materialize(marked, "marked")
-    hint = F.broadcast if marked.count() <= SENT else (lambda x: x)
-    return docs.select(*cols).join(hint(marked), F.col("doc_id") == F.col("_llm_id"), "left_anti")
+    hint = lambda df: F.broadcast(df) if df.count() <= SENT else df
+    rows = join(docs, 5, 80).where("class >= 0").groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")), "copies")
+    first = rows.groupBy("component").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    first = materialize(first.select(F.col("component").alias("_llm_component"), "first"), "first")
+    marked = rows.join(hint(first), F.col("component") == F.col("_llm_component"), "left")
+    marked = marked.withColumn("copy", F.col("first").isNotNull() & (F.col("rank") != F.col("first"))).where("copy or n > 1")
+    marked = materialize(marked.select(F.col("doc_id").alias("_llm_id"), F.col("key").alias("_llm_text"), "copy"), "marked")
+    same = F.col("doc_id").eqNullSafe(F.col("_llm_id")) & (F.col("_llm_key") == F.col("_llm_text"))
+    kept = docs.select(*cols).withColumn("_llm_key", doc_key())
+    every = kept.join(hint(marked.drop("copy")), same, "left_anti")
+    twice = marked.where("not copy").drop("copy")
+    if twice.limit(1).count():
+        every = every.union(kept.join(hint(twice), same, "left_semi").dropDuplicates(["doc_id", "_llm_key"]))
+    return every.select(*cols)
 
 
 ORACLE = """
