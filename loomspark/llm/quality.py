@@ -15,6 +15,9 @@ Order 5, over the bytes of UTF-8, so nothing is out of vocabulary. Training and
 So an n-gram travels once for each block and not once for each occurrence, and no text or model is collected.
 A fifth of the trusted documents, by hash, is kept out of training; the quantiles of their perplexities, by language,
 give the thresholds, so that training text doesn't flatter them.
+Words repeated over and over look fluent to five bytes. A text's repetition, the share of its words that occur among
+the ``NEAR`` words before (one such word isn't counted), is therefore held against a threshold made the same way, the
+language's or that over all languages, whichever is larger; above it a text isn't kept, whatever its perplexity.
 
 Nulls: a null or empty text has null perplexity and isn't kept; a null lang is a language of its own; a language
 without held-out trusted rows takes the threshold over all languages, and if there is none everything with text is
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import documents, encoded, form, kind, loosen, small, split, squeeze, unsmall, write_blocks
-from loomspark.llm.common import chunks, mix64, scratch_path
+from loomspark.llm.common import chunks, mix64, scratch_path, word_hashes, word_spans
 
 ORDER = 5
 #: Bytes of text in a block.
@@ -43,6 +46,8 @@ FAN = 256
 QUANTILE, ALLOW = 0.99, 1.0
 #: Labels up to this many are sent to every executor (16 bytes each); more are joined by shuffle.
 SENT = 2_000_000
+#: Words back within which a word counts as repeated.
+NEAR = 4
 _BITS = 10  # fixed point of the answers: 1/1024 bit
 
 
@@ -69,6 +74,16 @@ def distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.unique(p) for p in parts])) if parts else np.zeros(0, np.uint64)
 
 
+def repetition(text: bytes) -> float:
+    """Share of the words that occur among the ``NEAR`` words before, one of them forgiven."""
+    buf = np.frombuffer(text, np.uint8)
+    w = word_hashes(buf, *word_spans(buf))
+    again = np.zeros(len(w), bool)
+    for k in range(1, NEAR + 1):
+        again[k:] |= w[k:] == w[:-k]
+    return max(0, int(again.sum()) - 1) / max(1, len(w))
+
+
 def asks(shards: int, block: int):
     """What a block asks: 1 its distinct n-grams, 2 counts of those of its training documents."""
 
@@ -211,7 +226,7 @@ def answer(requests: DataFrame, blocks: int, counts: DataFrame, model: Model) ->
 
 
 def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` (text, _llm_train and any other columns) with _llm_bits: mean -log2 probability a byte, null if none."""
+    """``docs`` (text, _llm_train and any other columns) with _llm_bits: mean -log2 probability a byte, null if none, and _llm_repeat."""
     spark = docs.sparkSession
     path = scratch_path(spark, "quality")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -221,9 +236,9 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     write_blocks(docs, path, block, asks(shards, block))
     blocks = kind(docs, path, 0).count()
     if not blocks:
-        return docs.withColumn("_llm_bits", F.lit(None).cast("double"))
+        return docs.withColumn("_llm_bits", F.lit(None).cast("double")).withColumn("_llm_repeat", F.lit(None).cast("double"))
     if not kind(docs, path, 2).limit(1).count():
-        return docs.withColumn("_llm_bits", F.when(F.octet_length("text") > 0, F.lit(0.0)))
+        return docs.withColumn("_llm_bits", F.when(F.octet_length("text") > 0, F.lit(0.0))).withColumn("_llm_repeat", F.lit(None).cast("double"))
     counts, model = train(spark, path, kind(docs, path, 2), blocks)
     replies = answer(kind(docs, path, 1), blocks, counts, model)
     packed = kind(docs, path, 0).select("block", "data")
@@ -244,9 +259,9 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             if len(some):
                 starts = (np.cumsum(sizes) - sizes)[some]
                 mean[a + some] = np.add.reduceat(bits[np.searchsorted(keys, g)], starts) / sizes[some]
-        return table.append_column("_llm_bits", pa.array(mean, mask=np.isnan(mean)))
+        return table.append_column("_llm_bits", pa.array(mean, mask=np.isnan(mean))).append_column("_llm_repeat", pa.array([repetition(t) for t in texts], pa.float64()))
 
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(judge, form(docs) + ", _llm_bits double")
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(judge, form(docs) + ", _llm_bits double, _llm_repeat double")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -265,22 +280,22 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
     known = known.withColumn("_llm_train", F.col("_llm_trusted") & (F.col("_llm_fold") != 0)).drop("_llm_id", "_llm_fold")
     scored = score(known)
     keep = [c for c in dict.fromkeys(["lang", *carry]) if c not in ("perplexity", "threshold", "keep")]
-    scored = scored.select(*keep, "_llm_trusted", "_llm_train", "_llm_bits")
+    scored = scored.select(*keep, "_llm_trusted", "_llm_train", "_llm_bits", "_llm_repeat")
     path = scratch_path(spark, "scored")
     scored.write.option("compression", "zstd").parquet(path)
     scored = spark.read.schema(scored.schema).parquet(path)
     held = scored.where("_llm_trusted and not _llm_train and _llm_bits is not null")
-    cut = lambda: F.percentile_approx("_llm_bits", [0.5, QUANTILE], 10_000)
-    limits = held.groupBy(F.col("lang").alias("_llm_lang")).agg(cut().alias("q"))
-    every = held.agg(cut()).first()[0]
+    cut = lambda x: F.percentile_approx(x, [0.5, QUANTILE], 10_000)
+    limits = held.groupBy(F.col("lang").alias("_llm_lang")).agg(cut("_llm_bits").alias("q"), cut("_llm_repeat").alias("r"))
+    every, again = held.agg(cut("_llm_bits"), cut("_llm_repeat")).first()
     edge = lambda q: q[1] + ALLOW * (q[1] - q[0])
-    limits = limits.select("_llm_lang", edge(F.col("q")).alias("_llm_cut"))
+    limits = limits.select("_llm_lang", edge(F.col("q")).alias("_llm_cut"), edge(F.col("r")).alias("_llm_most"))
     if limits.count() <= 10_000:
         limits = F.broadcast(limits)
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_llm_lang")), "left")
     limit = F.coalesce("_llm_cut", F.lit(edge(every) if every else float("inf")))
     out = out.withColumn("perplexity", F.pow(F.lit(2.0), F.col("_llm_bits"))).withColumn("threshold", F.pow(F.lit(2.0), limit))
-    out = out.withColumn("keep", F.coalesce(F.col("_llm_bits") <= limit, F.lit(False)))
+    out = out.withColumn("keep", F.coalesce(F.col("_llm_bits") <= limit, F.lit(False)) & F.coalesce(F.col("_llm_repeat") <= F.greatest("_llm_most", F.lit(edge(again) if again else None).cast("double")), F.lit(True)))
     return out.select(*[c for c in carry if c in keep], "perplexity", "threshold", "keep")
 
 
