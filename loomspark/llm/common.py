@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,13 +37,80 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+#: Paths of the operators that run now, innermost last; of the results of the last pipeline stage; of other results.
+_running: list[list[str]] = []
+_staged: list[str] = []
+_results: list[str] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def scratch_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A new path, deleted when the operator that asks for it ends; ``keep``: when the one around it does."""
+    path = f"{scratch_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    level = len(_running) - 1 - keep
+    (_running[level] if level >= 0 else _results).append(path)
+    return path
+
+
+def delete(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Delete written tables, and let the driver's garbage go, and with it the shuffle files of what has ended."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """What is written inside is deleted at the end, but for what is kept."""
+    own: list[str] = []
+    _running.append(own)
+    try:
+        yield
+    finally:
+        _running.pop()
+        delete(spark, own)
+
+
+def roots(df: DataFrame) -> str:
+    """The folders that a DataFrame's files lie in."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+            out.append(leaves.apply(i).relation().location().rootPaths().mkString(" "))
+    return " ".join(out)
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage: as it starts, the tables that the stage before read go, unless ``docs`` still reads them."""
+
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _staged:
+            read = roots(docs)
+            gone = [p for p in _staged if p.rsplit("/", 1)[-1] not in read]
+            delete(spark, gone)
+            _staged[:] = [p for p in _staged if p not in gone]
+        before = len(_results)
+        out = work(spark, docs, sf_dir)
+        _staged.extend(_results[before:])
+        del _results[before:]
+        return out
+
+    return run
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that results of this session's operators still read."""
+    delete(spark, [*_staged, *_results])
+    _staged.clear()
+    _results.clear()
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
+    path = scratch_path(df.sparkSession, tag, keep)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -109,10 +181,9 @@ def components(edges: DataFrame, a: str, b: str, tag: str = "cc") -> DataFrame:
 # ---------------------------------------------------------------- whole arrays of text
 
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-_P = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: list[np.ndarray] = []
+_EDGE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -126,15 +197,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        inv = pow(_P, -1, 1 << 64)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (_P, inv)]
-    return _powers[0][:n], _powers[1][:n]
-
-
 #: Bytes hashed at a time; longer texts are taken block by block, cut at white space.
 BLOCK = 1 << 21
 
@@ -146,20 +208,34 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from one running polynomial sum over the bytes, block by block."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-        part = buf[base : int(ends[to - 1])]
-        up, down = _pow(len(part) + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])])
-        s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+class _Words(dict):
+    """Keyed 64-bit digests of words; so many of the shorter ones are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"loomspark words").digest(), "little")
+        if len(word) <= 32 and len(self) < 1 << 18:
+            self[word] = h
+        return h
+
+
+_words = _Words()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word; bytes.split() parts words at ASCII white space. Block by block, cut at white space.
+
+    The digest is keyed, so unlike sums of powers no two words can be written down that meet.
+    """
+    out, at = [], 0
+    while at < len(text):
+        to = at + BLOCK
+        if to < len(text):
+            edge = _EDGE.search(text, to)
+            to = edge.start() if edge else len(text)
+        part = text[at:to].split()
+        out.append(np.fromiter(map(_words.__getitem__, part), np.uint64, len(part)))
         at = to
-    return mix64(out)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -12,9 +12,13 @@ that segment's tolerance, and the other side has posted the matching signature.
 
 Signatures travel packed by bucket. Sets that are equal are one class from the start, and a task posts a class once.
 In a bucket, the classes of a signature are linked to the smallest one as candidates, a star and not all pairs;
-candidates are verified on whole sets. What the verified links do not connect is then compared in full: of each
-signature, every pair of classes in different components. So no link between different components is missed, while a
-group of a thousand near copies costs a thousand comparisons and not half a million.
+candidates are verified on whole sets. What the verified links do not connect is taken in rounds: of each signature,
+every class names its nearest few classes of other components that sizes and counts by part of the universe don't rule
+out, those are verified, components are contracted, and classes that have more to name go to the next round, which
+takes twice as many each. A class remembers how far down its list it has come, so the rounds end when every pair of a
+signature is linked, in one component, or ruled out. What moves is in proportion to the postings, not to their pairs,
+and a group of a thousand near copies costs a few thousand comparisons of sets. A signature of more than ``CELL``
+classes is compared in cells of that size, by several tasks.
 
 Nulls: a null or blank text has an empty set, no links and is its own component; a null doc_id takes part, and its
 component is the smallest non-null id reachable, null if there is none. Repeated rows are equal sets. An empty table
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import small, split, unsmall
-from loomspark.llm.common import chunks, components, doc_key, materialize, mix64, scratch_path, shingle_hashes, word_hashes, word_spans
+from loomspark.llm.common import chunks, components, delete, doc_key, materialize, mix64, scratch_path, shingle_hashes, stage, tidy, word_hashes
 
 #: Signatures that a bucket is made for.
 BUCKET = 1 << 19
@@ -42,16 +46,18 @@ PACK = 24 << 20
 #: Parts of the universe whose counts bound a pair's difference before whole sets are compared.
 COUNTS = 512
 #: Postings compared across components in one task.
-ACROSS = 40_000
+ACROSS = 20_000
+#: Classes of a signature compared with each other in one task.
+CELL = 2048
+#: Other classes that a posting names in the first round.
+NAMED = 2
 #: Ids of candidate documents sent to every executor (8 bytes each), beyond which they are joined by shuffle.
 SENT = 2_000_000
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Rising hashes of the distinct ``n``-word shingles of a text with A-Z in lower case."""
-    buf = np.frombuffer(text.lower(), np.uint8)  # bytes.lower() changes A-Z only
-    starts, ends = word_spans(buf)
-    return np.unique(shingle_hashes(word_hashes(buf, starts, ends), n))
+    return np.unique(shingle_hashes(word_hashes(text.lower()), n))  # bytes.lower() changes A-Z only
 
 
 def class_of(s: np.ndarray) -> int:
@@ -166,18 +172,18 @@ def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None
                                 got = signatures(s, band, bands.shape(band))
                                 sigs.append(got)
                                 owner.append((len(got), i))
-                yield pa.RecordBatch.from_arrays([pa.array([0] * (z - a), pa.int32()), ids[a:z], keys[a:z], pa.array(size), pa.array(of), pa.nulls(z - a, pa.int32()), pa.array(counts, pa.binary()), *[pa.nulls(z - a, pa.binary())] * 2], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * (z - a), pa.int32()), ids[a:z], keys[a:z], pa.array(size), pa.array(of), pa.array(counts, pa.binary()), pa.nulls(z - a, pa.int32()), *[pa.nulls(z - a, pa.binary())] * 3], names=names)
                 if not sigs:
                     continue
                 sig, who = np.concatenate(sigs), np.repeat([i for _, i in owner], [k for k, _ in owner])
                 for bucket, at in split((sig % np.uint64(buckets)).astype(np.int64)):
                     local, place = np.unique(who[at], return_inverse=True)
-                    row = [1, None, None, len(at), number, bucket, sig[at].astype("<u8").tobytes(), small(np.diff(place, prepend=0), "<u2") if len(local) < 1 << 16 else small(np.diff(place, prepend=0), "<u4"), of[local].astype("<i8").tobytes()]
+                    row = [1, None, None, len(at), number, None, bucket, sig[at].astype("<u8").tobytes(), small(np.diff(place, prepend=0), "<u2") if len(local) < 1 << 16 else small(np.diff(place, prepend=0), "<u4"), of[local].astype("<i8").tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-    names = ["kind", "doc_id", "key", "size", "class", "bucket", "sigs", "places", "classes"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    rows = docs.mapInArrow(work, "kind int, doc_id long, key long, size long, class long, bucket int, sigs binary, places binary, classes binary")
+    names = ["kind", "doc_id", "key", "size", "class", "counts", "bucket", "sigs", "places", "classes"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    rows = docs.mapInArrow(work, "kind int, doc_id long, key long, size long, class long, counts binary, bucket int, sigs binary, places binary, classes binary")
     rows.write.partitionBy("kind").option("compression", "none").parquet(path)
 
 
@@ -210,7 +216,7 @@ def groups(spark: SparkSession, path: str, out: str) -> DataFrame:
 
     schema = pa.schema([("bucket", pa.int32()), ("sigs", pa.binary()), ("classes", pa.binary())])
     empty = schema.empty_table()
-    form = "doc_id long, size long, class long, bucket int, sigs binary, places binary, classes binary, kind int"
+    form = "bucket int, sigs binary, places binary, classes binary, kind int"
     posted = spark.read.schema(form).parquet(path).where("kind = 1").select("bucket", "sigs", "places", "classes")
     found = posted.groupBy("bucket").applyInArrow(find, "bucket int, sigs binary, classes binary")
     found.write.option("compression", "zstd").parquet(out)
@@ -232,64 +238,124 @@ def stars(found: DataFrame) -> DataFrame:
     return found.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def across(found: DataFrame, comp: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of classes that share a signature and lie in different components.
-
-    A signature's classes are compared inside one task, on their components, sizes and counts by part of the
-    universe; only pairs that may link leave it, so what moves doesn't grow with the square of a group.
-    """
+def postings(found: DataFrame) -> DataFrame:
+    """Rows (sig, class)."""
 
     def rows(batches):
         for batch in batches:
             for s, c in zip(batch.column("sigs"), batch.column("classes"), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_py(), "<i8")), pa.array(np.frombuffer(c.as_py(), "<i8"))], names=["sig", "class"])
 
-    flat = found.mapInArrow(rows, "sig long, class long")
-    flat = flat.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    mixed = flat.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    flat = materialize(flat.join(mixed, "sig"), "across")
-    buckets = max(8, flat.count() // ACROSS)
-    full = flat.join(known.select("class", "size", "counts"), "class").withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(buckets)))
-
-    def pairs(table):
-        table = table.sort_by("sig")
-        sig, cls, of, size = (table.column(x).to_numpy() for x in ("sig", "class", "comp", "size"))
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16)
-        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]))
-        out = []
-        for s, e in zip(first.tolist(), np.append(first[1:], len(sig)).tolist(), strict=True):
-            for i in range(s, e - 1):
-                j = np.flatnonzero((of[i + 1 : e] != of[i]) & (np.minimum(size[i + 1 : e], size[i]) * 100 >= np.maximum(size[i + 1 : e], size[i]) * percent)) + i + 1
-                if len(j):
-                    far = np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64)
-                    j = j[far * (100 + percent) <= (100 - percent) * (size[j] + size[i])]
-                    out.append(np.stack([np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])], 1))
-        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": got[:, 0], "b": got[:, 1]})
-
-    return full.select("bucket", "sig", "class", "comp", "size", "counts").groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets link, on whole sets. ``known``: (class, doc_id, size, counts) of a document of each class.
-
-    Pairs whose sizes, or whose counts by part of the universe, show too large a difference go first: the counts'
-    difference is at most the sets'.
+    return found.mapInArrow(rows, "sig long, class long")
+
+
+def dealt(found: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (sig, cell, part, class, at, to): postings of signatures that several components share, in cells.
+
+    The classes of a large signature fall into parts, and each two parts make a cell; (at, to) see ``candidates``.
+    """
+    live = postings(found).join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    shared = live.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    live = live.join(shared.where("lo < hi").select("sig", "parts"), "sig").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("long"))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.shiftleft(F.least("part", "other"), 32) + F.greatest("part", "other")
+    return live.select("sig", cell.alias("cell"), "part", "class", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("to"))
+
+
+def _pairs(first: np.ndarray, end: np.ndarray, most: int = 1 << 17):
+    """(i, j) of the pairs i < j within runs of rows, about ``most`` at a time."""
+    out, held = [], 0
+    for s, e in zip(first.tolist(), end.tolist(), strict=True):
+        i, j = np.triu_indices(e - s, 1)
+        for a in range(0, len(i), most):
+            out.append((i[a : a + most] + s, j[a : a + most] + s))
+            held += len(out[-1][0])
+            if held >= most:
+                yield map(np.concatenate, zip(*out, strict=True))
+                out, held = [], 0
+    if out:
+        yield map(np.concatenate, zip(*out, strict=True))
+
+
+def _near(first, end, size, of, cell, part, counts, percent):
+    """(i, j, score) of the pairs of a cell that may link: other component, sizes and counts allow it.
+
+    Counts of 16 parts together are looked at first. Where a cell holds two parts, pairs within one are another cell's.
     """
-    pairs = materialize(pairs, "pairs")
+    coarse = counts.reshape(len(counts), -1, 16).sum(2, dtype=np.uint16)
+    two = (cell >> 32) != (cell & 0xFFFFFFFF)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for i, j in _pairs(first, end):
+        ok = (of[i] != of[j]) & (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent) & (~two[i] | (part[i] != part[j]))
+        i, j = i[ok], j[ok]
+        far = np.zeros(len(i), np.int64)
+        for c in (coarse, counts):
+            x, y = c[i], c[j]
+            far = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
+            ok = far * (100 + percent) <= (100 - percent) * (size[i] + size[j])
+            i, j, far = i[ok], j[ok], far[ok]
+        out.append((i, j, (far << 20) // (size[i] + size[j])))
+    return map(np.concatenate, zip(*out, strict=True))
+
+
+def candidates(live: DataFrame, comp: DataFrame, known: DataFrame, percent: int, named: int) -> tuple[DataFrame, DataFrame]:
+    """Of live postings (see ``dealt``): (candidate pairs (a, b), the postings that have more to name).
+
+    Each names up to ``named`` classes of its cell, by score and class. (at, to) are those of the one named last; what
+    stands up to there in the list of either of a pair is done.
+    """
+    live = live.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    mixed = live.groupBy("sig", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "cell")
+    live = live.join(mixed, ["sig", "cell"]).join(known.select("class", "size", "counts"), "class")
+    live = materialize(live.select("sig", "cell", "part", "class", "comp", "size", "counts", "at", "to"), "across")
+    buckets = max(8, live.count() // ACROSS)
+
+    def name(table):
+        table = table.sort_by([("sig", "ascending"), ("cell", "ascending"), ("class", "ascending")])
+        sig, cell, part, cls, of, size, at, to = (table.column(x).to_numpy() for x in ("sig", "cell", "part", "class", "comp", "size", "at", "to"))
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
+        first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])]))
+        i, j, score = _near(first, np.append(first[1:], len(sig)), size, of, cell, part, counts, percent)
+        i, j, score = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(score, 2)
+        new = ((score > at[i]) | (score == at[i]) & (cls[j] > to[i])) & ((score > at[j]) | (score == at[j]) & (cls[i] > to[j]))
+        i, j, score = i[new], j[new], score[new]
+        order = np.lexsort((cls[j], score, i))
+        i, j, score = i[order], j[order], score[order]
+        begin = np.flatnonzero(np.diff(i, prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+        now = rank < named
+        got = np.unique(np.stack([np.minimum(cls[i[now]], cls[j[now]]), np.maximum(cls[i[now]], cls[j[now]])], 1), axis=0)
+        last = (rank == named - 1) & np.isin(i, i[rank == named])
+        left = np.stack([sig[i], cell[i], part[i], cls[i], score, cls[j]], 1)[last]
+        full = np.concatenate([np.pad(got, ((0, 0), (0, 4))), left])
+        kinds = np.repeat([0, 1], [len(got), len(left)]).astype(np.int32)
+        return pa.Table.from_arrays([pa.array(kinds), *[pa.array(np.ascontiguousarray(full[:, k])) for k in range(6)]], names=["kind", *(f"x{k}" for k in range(6))])
+
+    live = live.withColumn("bucket", F.pmod(F.xxhash64("sig", "cell"), F.lit(buckets)))
+    out = materialize(live.groupBy("bucket").applyInArrow(name, "kind int, x0 long, x1 long, x2 long, x3 long, x4 long, x5 long"), "named")
+    pairs = out.where("kind = 0").select(F.col("x0").alias("a"), F.col("x1").alias("b")).distinct()
+    return pairs, out.where("kind = 1").select(*[F.col(f"x{k}").alias(x) for k, x in enumerate(("sig", "cell", "part", "class", "at", "to"))])
+
+
+def close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and counts by part of the universe allow: the counts' difference is at most the sets'."""
     side = lambda x: known.select(F.col("class").alias(x), F.col("size").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
-    def close(batches):
+    def check(batches):
         for b in batches:
             one, two = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16) for x in ("ca", "cb"))
             size = b.column("na").to_numpy() + b.column("nb").to_numpy()
             ok = pa.array(np.abs(one - two).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * size)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    near = materialize(near.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(close, "a long, b long"), "pairs")
-    asked = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-    wanted = materialize(known.join(asked, "class").select(F.col("doc_id").alias("_llm_id"), F.col("class").alias("_llm_class")), "wanted")
+    return materialize(near.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(check, "a long, b long"), "pairs")
+
+
+def sets_of(docs: DataFrame, known: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Rows (class, set) of the ``asked`` classes, from one reading of the texts."""
+    wanted = known.join(asked.distinct(), "class").select(F.col("doc_id").alias("_llm_id"), F.col("class").alias("_llm_class"))
+    wanted = materialize(wanted, "wanted")
     hint = F.broadcast if wanted.count() <= SENT else (lambda x: x)
 
     def sets(batches):
@@ -302,8 +368,12 @@ def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, n: int, percen
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["class", "set"])
 
     held = docs.select("doc_id", "text").join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("_llm_id"))).select("_llm_class", "text").mapInArrow(sets, "class long, set binary")
-    held = materialize(held.dropDuplicates(["class"]), "sets")
-    both = near.join(held.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b").join(held.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
+    return materialize(held.dropDuplicates(["class"]), "sets")
+
+
+def linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link, on whole sets."""
+    both = pairs.join(held.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b").join(held.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a")
 
     def check(batches):
         for b in batches:
@@ -315,7 +385,30 @@ def verified(docs: DataFrame, pairs: DataFrame, known: DataFrame, n: int, percen
             ok = np.array(ok, bool)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+
+
+def sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
+
+
+def connected(docs: DataFrame, found: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (node, comp): the components of the classes that link with others."""
+    pairs = close(stars(found), known, percent)
+    links = linked(pairs, sets_of(docs, known, sides(pairs), n), percent)
+    comp = materialize(components(links, "a", "b"), "components")
+    live, held, done, named = dealt(found, comp), None, pairs, NAMED
+    while True:
+        pairs, live = candidates(live, comp, known, percent, named)
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if pairs.limit(1).count():
+            if held is None:  # later rounds name none but these
+                held = sets_of(docs, known, sides(pairs).union(live.select("class")), n)
+            links, done = links.union(linked(pairs, held, percent)), done.union(pairs)
+            comp = materialize(components(links, "a", "b"), "components")
+        if not live.limit(1).count():
+            return comp
+        named *= 2
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -325,34 +418,32 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    path = scratch_path(spark, "shingles")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    post(docs.withColumn("key", doc_key()), path, n, percent, max(8, total // 16 // BUCKET))
-    form = "doc_id long, key long, size long, class long, sigs binary, kind int"
-    rows = spark.read.schema(form).parquet(path).where("kind = 0").drop("kind")
-    known = rows.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("sigs").alias("counts"))
-    known = materialize(known, "classes")
-    blank = spark.createDataFrame([], "a long, b long")
-    comp = None
-    if spark.read.schema("bucket int, kind int").parquet(path).where("kind = 1").limit(1).count():
-        found = groups(spark, path, scratch_path(spark, "groups"))
-        links = materialize(verified(docs, stars(found), known, n, percent), "links")
-        comp = materialize(components(links, "a", "b"), "components")
-        more = materialize(verified(docs, across(found, comp, known, percent), known, n, percent), "links")
-        if more.limit(1).count():
-            comp = materialize(components(links.union(more), "a", "b"), "components")
-    comp = components(blank, "a", "b") if comp is None else comp
-    classes = known.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("comp", "class")).select("class", "doc_id", "component")
-    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = classes.join(least, "component").select("class", "component", "component_id")
-    out = rows.join(by_class, "class", "left")
-    return out.select("doc_id", "key", F.col("size").alias("n_shingles"), "class", "component", F.when(F.col("class") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    with tidy(spark):
+        path = scratch_path(spark, "shingles")
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        post(docs.withColumn("key", doc_key()), path, n, percent, max(8, total // 16 // BUCKET))
+        form = "doc_id long, key long, size long, class long, counts binary, kind int"
+        rows = spark.read.schema(form).parquet(path).where("kind = 0").drop("kind")
+        known = rows.where("class >= 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("counts").alias("counts"))
+        known = materialize(known, "classes")
+        comp = spark.createDataFrame([], "node long, comp long")
+        if spark.read.schema("bucket int, kind int").parquet(path).where("kind = 1").limit(1).count():
+            found = groups(spark, path, scratch_path(spark, "groups"))
+            delete(spark, [f"{path}/kind=1"])
+            comp = connected(docs, found, known, n, percent)
+        classes = known.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("comp", "class")).select("class", "doc_id", "component")
+        least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        by_class = classes.join(least, "component").select("class", "component", "component_id")
+        out = rows.join(by_class, "class", "left")
+        out = out.select("doc_id", "key", F.col("size").alias("n_shingles"), "class", "component", F.when(F.col("class") < 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        return materialize(out, "joined", keep=True)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
+@stage
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies (five words, 0.8) one row stays.
 

@@ -6,7 +6,8 @@ each integer boundary that its step crosses. Documents stand in falling order of
 from the target by less than the source's largest document.
 
 Nulls: the null source is a source (the last in order); a null or blank text has size 0, is sampled like any other
-and takes 0 words. Ties are broken by doc_id; repeated rows are rows of their own. An empty table gives none.
+and takes 0 words. Ties are broken by doc_id, and, where a text is
+there, by its digest; repeated rows are rows of their own. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WORD, materialize, positions
+from loomspark.llm.common import WORD, doc_key, materialize, positions, stage
 
 #: Weights of the sources in code-point order, repeated in turn.
 CYCLE = (1, 2, 3)
@@ -58,7 +59,8 @@ def mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST, seed: i
     """
     docs = docs.drop("source_size", "target", "copies")
     goal = targets(docs, cycle, most).select(F.col("source").alias("_llm_source"), "source_size", "target")
-    placed = positions(docs, ["source"], [F.col("size").desc(), F.col("doc_id")], "_llm_k")
+    ties = [doc_key()] if "text" in docs.columns else []
+    placed = positions(docs, ["source"], [F.col("size").desc(), F.col("doc_id"), *ties], "_llm_k")
     out = placed.join(goal, F.col("source").eqNullSafe(F.col("_llm_source")))
     digest = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("source"), F.lit("(null)"))))
     offset = F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
@@ -74,6 +76,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it."""
     sized = mix(with_size(docs.select("doc_id", "text", "lang", "source", "n_chars")))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import materialize, stage
 from loomspark.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -256,6 +256,7 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@stage
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the pieces of all documents with their places in sequences."""
     return packed(docs)

@@ -35,15 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import documents, encoded, form, kind, loosen, small, split, squeeze, unsmall, write_blocks
-from loomspark.llm.common import chunks, mix64, scratch_path, word_hashes, word_spans
+from loomspark.llm.common import chunks, materialize, mix64, scratch_path, stage, tidy, word_hashes
 
 ORDER = 5
 #: Bytes of text in a block.
 BLOCK = 6 << 20
 #: Blocks that a shard answers in one task, and lists of counts merged in one.
 FAN = 256
-#: The threshold is this quantile of held-out trusted perplexities, plus ALLOW times its distance from the median.
-QUANTILE, ALLOW = 0.99, 1.0
+#: The threshold is this quantile of the held-out trusted perplexities of the language.
+QUANTILE = 0.995
 #: Labels up to this many are sent to every executor (16 bytes each); more are joined by shuffle.
 SENT = 2_000_000
 #: Words back within which a word counts as repeated.
@@ -76,8 +76,7 @@ def distinct(parts: list[np.ndarray]) -> np.ndarray:
 
 def repetition(text: bytes) -> float:
     """Share of the words that occur among the ``NEAR`` words before, one of them forgiven."""
-    buf = np.frombuffer(text, np.uint8)
-    w = word_hashes(buf, *word_spans(buf))
+    w = word_hashes(text)
     again = np.zeros(len(w), bool)
     for k in range(1, NEAR + 1):
         again[k:] |= w[k:] == w[:-k]
@@ -174,7 +173,7 @@ class Model:
         return -np.log2(np.maximum(p, 2.0**-60))
 
 
-def train(spark: SparkSession, path: str, lists: DataFrame, blocks: int) -> tuple[DataFrame, Model]:
+def train(spark: SparkSession, lists: DataFrame, blocks: int) -> tuple[DataFrame, Model]:
     """(rows (shard, data, more) of merged counts, bounded part of the model)."""
     schema = "shard int, salt long, data binary, more binary"
     rows = lists.withColumn("salt", F.col("block"))
@@ -198,8 +197,9 @@ def train(spark: SparkSession, path: str, lists: DataFrame, blocks: int) -> tupl
 
     done = pa.schema([("shard", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("tally", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
     model = rows.groupBy("shard").applyInArrow(last, "shard int, data binary, more binary, tally array<long>, pairs array<long>, n array<long>")
-    model.write.option("compression", "none").parquet(f"{path}-model")
-    model = spark.read.schema(model.schema).parquet(f"{path}-model")
+    kept = scratch_path(spark, "model")
+    model.write.option("compression", "none").parquet(kept)
+    model = spark.read.schema(model.schema).parquet(kept)
     tallies = model.agg(*[F.sum(F.col("tally")[i]) for i in range(4 * (ORDER - 2))]).first()
     pairs = model.select(F.explode(F.arrays_zip("pairs", "n")).alias("x")).groupBy("x.pairs").agg(F.sum("x.n")).collect()
     kept = {k: [tallies[4 * (k - 3) + i] or 0 for i in range(4)] for k in range(3, ORDER + 1)}
@@ -239,7 +239,7 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         return docs.withColumn("_llm_bits", F.lit(None).cast("double")).withColumn("_llm_repeat", F.lit(None).cast("double"))
     if not kind(docs, path, 2).limit(1).count():
         return docs.withColumn("_llm_bits", F.when(F.octet_length("text") > 0, F.lit(0.0))).withColumn("_llm_repeat", F.lit(None).cast("double"))
-    counts, model = train(spark, path, kind(docs, path, 2), blocks)
+    counts, model = train(spark, kind(docs, path, 2), blocks)
     replies = answer(kind(docs, path, 1), blocks, counts, model)
     packed = kind(docs, path, 0).select("block", "data")
 
@@ -271,31 +271,28 @@ def trusted(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT else ids
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str], quantile: float = QUANTILE) -> DataFrame:
     """Columns ``carry`` of ``docs`` with perplexity (a byte), threshold (of the language) and keep."""
     spark = docs.sparkSession
-    cols = [c for c in dict.fromkeys(["doc_id", "text", "lang", *carry]) if c not in ("perplexity", "threshold", "keep")]
-    known = docs.select(*cols).join(trusted(labels), F.col("doc_id") == F.col("_llm_id"), "left")
-    known = known.withColumn("_llm_trusted", F.col("_llm_id").isNotNull()).withColumn("_llm_fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
-    known = known.withColumn("_llm_train", F.col("_llm_trusted") & (F.col("_llm_fold") != 0)).drop("_llm_id", "_llm_fold")
-    scored = score(known)
-    keep = [c for c in dict.fromkeys(["lang", *carry]) if c not in ("perplexity", "threshold", "keep")]
-    scored = scored.select(*keep, "_llm_trusted", "_llm_train", "_llm_bits", "_llm_repeat")
-    path = scratch_path(spark, "scored")
-    scored.write.option("compression", "zstd").parquet(path)
-    scored = spark.read.schema(scored.schema).parquet(path)
-    held = scored.where("_llm_trusted and not _llm_train and _llm_bits is not null")
-    cut = lambda x: F.percentile_approx(x, [0.5, QUANTILE], 10_000)
-    limits = held.groupBy(F.col("lang").alias("_llm_lang")).agg(cut("_llm_bits").alias("q"), cut("_llm_repeat").alias("r"))
-    every, again = held.agg(cut("_llm_bits"), cut("_llm_repeat")).first()
-    edge = lambda q: q[1] + ALLOW * (q[1] - q[0])
-    limits = limits.select("_llm_lang", edge(F.col("q")).alias("_llm_cut"), edge(F.col("r")).alias("_llm_most"))
-    if limits.count() <= 10_000:
-        limits = F.broadcast(limits)
+    with tidy(spark):
+        cols = [c for c in dict.fromkeys(["doc_id", "text", "lang", *carry]) if c not in ("perplexity", "threshold", "keep")]
+        known = docs.select(*cols).join(trusted(labels), F.col("doc_id") == F.col("_llm_id"), "left")
+        known = known.withColumn("_llm_trusted", F.col("_llm_id").isNotNull()).withColumn("_llm_fold", F.pmod(F.xxhash64("doc_id"), F.lit(5)))
+        known = known.withColumn("_llm_train", F.col("_llm_trusted") & (F.col("_llm_fold") != 0)).drop("_llm_id", "_llm_fold")
+        keep = [c for c in dict.fromkeys(["lang", *carry]) if c not in ("perplexity", "threshold", "keep")]
+        scored = score(known).select(*keep, "_llm_trusted", "_llm_train", "_llm_bits", "_llm_repeat")
+        scored = materialize(scored, "scored", keep=True)
+        held = scored.where("_llm_trusted and not _llm_train and _llm_bits is not null")
+        cut = lambda x: F.percentile_approx(x, quantile, 10_000)
+        limits = held.groupBy(F.col("lang").alias("_llm_lang")).agg(cut("_llm_bits").alias("_llm_cut"), cut("_llm_repeat").alias("_llm_most"))
+        limits = materialize(limits, "limits", keep=True)
+        every, again = held.agg(cut("_llm_bits"), cut("_llm_repeat")).first()
+        if limits.count() <= 10_000:
+            limits = F.broadcast(limits)
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_llm_lang")), "left")
-    limit = F.coalesce("_llm_cut", F.lit(edge(every) if every else float("inf")))
+    limit = F.coalesce("_llm_cut", F.lit(float("inf") if every is None else every))
     out = out.withColumn("perplexity", F.pow(F.lit(2.0), F.col("_llm_bits"))).withColumn("threshold", F.pow(F.lit(2.0), limit))
-    out = out.withColumn("keep", F.coalesce(F.col("_llm_bits") <= limit, F.lit(False)) & F.coalesce(F.col("_llm_repeat") <= F.greatest("_llm_most", F.lit(edge(again) if again else None).cast("double")), F.lit(True)))
+    out = out.withColumn("keep", F.coalesce(F.col("_llm_bits") <= limit, F.lit(False)) & F.coalesce(F.col("_llm_repeat") <= F.greatest("_llm_most", F.lit(again).cast("double")), F.lit(True)))
     return out.select(*[c for c in carry if c in keep], "perplexity", "threshold", "keep")
 
 
@@ -303,6 +300,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id", "lang"])
 
 
+@stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier keeps."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -7,7 +7,7 @@ doc_id) stays. Only runs of repeated chunks of at least ``RUN`` words are cut, s
 caught although its ends share chunks with what surrounds it, and short turns of phrase are left alone.
 
 Each block asks the shards about each of its digests once, however often it has it, so a passage that a third of all
-documents share costs a row a block. Rows are first by doc_id (null last), then by place in the table.
+documents share costs a row a block; a shard's lists are merged, and blocks are answered, a bounded number at a time. Rows are first by doc_id (null last), then by place in the table.
 
 Nulls: a null text stays null. A text of which nothing is left becomes empty. Repeated rows are documents like any
 others: the second is a copy of the first. An empty table gives none. White space beside a cut goes with it. Input
@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import documents, encoded, form, kind, loosen, small, split, squeeze, unsmall, write_blocks
-from loomspark.llm.common import mix64, scratch_path, word_hashes, word_spans
+from loomspark.llm.common import delete, materialize, mix64, scratch_path, stage, tidy, word_hashes, word_spans
 
 #: A chunk has at least so many words, and at most MOST.
 LEAST, MOST = 4, 64
@@ -33,6 +34,8 @@ RUN = 25
 BLOCK = 6 << 20
 #: Digests that a shard is made for.
 SHARD = 1 << 19
+#: Blocks whose lists meet in one task.
+FAN = 256
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
@@ -70,7 +73,7 @@ def chunk(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.array(cuts)
     words = np.diff(np.append(first, len(starts)))
     place = np.arange(len(starts)) - np.repeat(first, words)
-    mixed = mix64(word_hashes(buf, starts, ends) + mix64(place.astype(np.uint64) + np.uint64(77)))
+    mixed = mix64(word_hashes(text) + mix64(place.astype(np.uint64) + np.uint64(77)))
     return mix64(np.add.reduceat(mixed, first) + words.astype(np.uint64)), starts[first], words
 
 
@@ -95,9 +98,12 @@ def asks(shards: int):
     return ask
 
 
+_TAIL = len(small(np.zeros(1, np.uint64), "<u8"))
+
+
 def _lists(table: pa.Table):
     """(digest, block, doc, count) of requests."""
-    out = []
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for b, d, m in zip(table.column("block").to_pylist(), table.column("data"), table.column("more"), strict=True):
         more = m.as_py()
         cells, base = unsmall(more[:-_TAIL], "<u8").reshape(2, -1), unsmall(more[-_TAIL:], "<u8")[0]
@@ -106,15 +112,71 @@ def _lists(table: pa.Table):
     return map(np.concatenate, zip(*out, strict=True))
 
 
-_TAIL = len(small(np.zeros(1, np.uint64), "<u8"))
-
-
 def _first(digest, block, doc, count):
     """Of each digest its first document, that one's block and whether it occurs twice."""
     order = np.lexsort((block, doc, digest))
     digest, block, doc, count = digest[order], block[order], doc[order], count[order]
     first = np.flatnonzero(np.diff(digest, prepend=~digest[:1]))
-    return digest[first], block[first], doc[first], np.minimum(np.add.reduceat(count, first), 2)
+    return digest[first], block[first], doc[first], np.minimum(np.add.reduceat(count, first) if len(first) else count, 2)
+
+
+def owners(asked: DataFrame, blocks: int) -> DataFrame:
+    """Rows (shard, digest, home, doc): of a shard's digests that occur twice the first document and its block.
+
+    Lists are merged ``FAN`` at a time, in rounds, so that a digest of every block is in no task more than so often.
+    """
+
+    def merge(final: bool):
+        def work(table):
+            parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+            raw = table.filter(pa.compute.is_valid(table.column("data")))
+            for at in range(0, raw.num_rows, 32):
+                parts = [_first(*map(np.concatenate, zip(*parts, tuple(_lists(raw.slice(at, 32))), strict=True)))]
+            for row in table.filter(pa.compute.is_null(table.column("data"))).select(["digest", "home", "doc", "count"]).to_pylist():
+                one = (loosen(row["digest"]), *(unsmall(row[c], t) for c, t in (("home", "<i8"), ("doc", "<u8"), ("count", "<u8"))))
+                parts = [_first(*map(np.concatenate, zip(*parts, one, strict=True)))]
+            got = [x[parts[0][3] > 1] for x in parts[0]] if final else parts[0]
+            row = [squeeze(got[0]), *(small(x, t) for x, t in zip(got[1:], ("<i8", "<u8", "<u8"), strict=True))]
+            return pa.Table.from_arrays([table.column("shard")[:1], table.column("salt")[:1], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), *[pa.array([x], pa.binary()) for x in row]], names=names)
+
+        return work
+
+    names = ["shard", "salt", "data", "more", "block", "digest", "home", "doc", "count"]
+    form_ = "shard int, salt int, data binary, more binary, block long, digest binary, home binary, doc binary, count binary"
+    rows = asked.withColumn("salt", salted(blocks)).withColumns({c: F.lit(None).cast("binary") for c in names[5:]}).select(*names)
+    many = -(-blocks // FAN)
+    while many > 1:
+        rows = rows.groupBy("shard", "salt").applyInArrow(merge(False), form_)
+        many = -(-many // FAN)
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(many)).cast("int"))
+    rows = rows.withColumn("salt", F.lit(0)).groupBy("shard").applyInArrow(merge(True), form_)
+    return materialize(rows.select("shard", "digest", "home", "doc"), "owners")
+
+
+def salted(blocks: int):
+    return F.pmod(F.xxhash64("block"), F.lit(-(-blocks // FAN) or 1)).cast("int")
+
+
+def answers(asked: DataFrame, owned: DataFrame, blocks: int) -> DataFrame:
+    """Rows (block, data, owner, here): of each block the digests that occur elsewhere too, or twice, their first
+    document and whether it is in this block. ``FAN`` blocks at a time."""
+
+    def answer(own, requests):
+        out = []
+        one, home, owner = map(np.concatenate, zip(*((loosen(r["digest"]), unsmall(r["home"], "<i8"), unsmall(r["doc"], "<u8")) for r in own.to_pylist()), strict=True))
+        if len(one):
+            for b, d in zip(requests.column("block").to_pylist(), requests.column("data"), strict=True):
+                digest = loosen(d.as_py())
+                at = np.minimum(np.searchsorted(one, digest), len(one) - 1)
+                digest, at = digest[one[at] == digest], at[one[at] == digest]
+                if len(digest):
+                    out.append((b, small(digest, "<u8"), small(owner[at], "<u8"), small(home[at] == b, "u1")))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "data", "owner", "here"), cols, (pa.int64(), *[pa.binary()] * 3), strict=True)})
+
+    owned = owned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-blocks // FAN) - 1)))))
+    asked = asked.select("block", "shard", "data").withColumn("salt", salted(blocks))
+    return owned.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "block long, data binary, owner binary, here binary")
 
 
 def repeats(docs: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
@@ -127,21 +189,11 @@ def repeats(docs: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
     shards = max(8, total // 40 // SHARD)
     write_blocks(docs, path, block, asks(shards))
     packed = kind(docs, path, 0).select("block", "data")
-    asked = kind(docs, path, 1)
-
-    def answer(table):
-        """Of one shard, for each block its digests that occur elsewhere too, or twice: (digest, first document, whether it is here)."""
-        digest, block, doc, count = _lists(table)
-        one, home, owner, times = _first(digest, block, doc, count)
-        at = np.searchsorted(one, digest)
-        many = times[at] > 1
-        out = [(b, digest[many][p], owner[at[many]][p], (home[at[many]] == b)[p]) for b, p in split(block[many])] if many.any() else []
-        return pa.table(
-            {"block": pa.array([o[0] for o in out], pa.int64()), "data": pa.array([small(o[1], "<u8") for o in out], pa.binary()), "owner": pa.array([small(o[2], "<u8") for o in out], pa.binary()), "here": pa.array([small(o[3], "u1") for o in out], pa.binary())}
-        )
-
-    reply = "block long, data binary, owner binary, here binary"
-    replies = asked.groupBy("shard").applyInArrow(answer, reply)
+    blocks = packed.count()
+    with tidy(spark):
+        owned = owners(kind(docs, path, 1), blocks)
+        replies = materialize(answers(kind(docs, path, 1), owned, blocks), "replies", keep=True)
+        delete(spark, [f"{path}/kind=1"])
 
     def cut(held, answers):
         got = [(unsmall(r["data"], "<u8"), unsmall(r["owner"], "<u8"), unsmall(r["here"], "u1")) for r in answers.to_pylist()]
@@ -198,6 +250,7 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(docs).where("removed_words > 0")
 
 
+@stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without repeated passages; a document of which nothing is left goes."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
