@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm.common import materialize
+from loomspark.llm.common import delete, scratch_path
 from loomspark.llm.jaccard import jaccard_stage
 from loomspark.llm.mixing import mix_stage
 from loomspark.llm.packing import pack_stage
@@ -28,7 +28,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages. What a stage has written beside its output goes when the next one starts, its output when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        out = stage(spark, docs, sf_dir)
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, [before])
+        before = path
     return docs
