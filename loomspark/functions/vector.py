@@ -73,7 +73,7 @@ def vec_add(t: Tables) -> DataFrame:
     return embeddings(t).select("vec_id", F.transform(vector_add(F.col("v"), F.reverse("v")), lambda x: F.round(x, 6)).alias("s"))
 
 
-@query(f"SELECT vec_id, list_transform(v, lambda x: round(x * label, 6)) AS s FROM {_V} e")
+@query(f"SELECT vec_id, list_transform(v, lambda x: round(x * label, 6) + 0.0) AS s FROM {_V} e")
 def vec_scale(t: Tables) -> DataFrame:
     return embeddings(t).select("vec_id", F.transform(vector_multiply(F.col("v"), F.col("label").cast("double")), lambda x: F.round(x, 6)).alias("s"))
 

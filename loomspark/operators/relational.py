@@ -99,33 +99,13 @@ def filter_like_underscore(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ joins
 
 
-def _busy(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
-
-
-_BUSY = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)"
-
-
-def _joined(kind: str):
-    return lambda t: t.customer.where("c_custkey % 7 < 5").join(_busy(t), c("c_custkey") == c("o_custkey"), kind)
-
-
+# Over every row of customer and orders; rows go unmatched by a condition on values.
 for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    query(f"SELECT c_custkey, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 7 < 5) c {_sql} {_BUSY} o ON c_custkey = o_custkey", f"join_{_kind}")(
-        lambda t, k=_kind: _joined(k)(t).select("c_custkey", "c_name", "o_orderkey")
-    )
-for _kind, _sql in (("semi", ""), ("anti", "NOT ")):
-    query(f"SELECT c_custkey, c_name FROM customer WHERE {_sql}EXISTS (SELECT 1 FROM {_BUSY} o WHERE o_custkey = c_custkey AND o_totalprice > 400000)", f"join_{_kind}")(
-        lambda t, k=_kind: t.customer.join(_busy(t).where("o_totalprice > 400000"), c("c_custkey") == c("o_custkey"), f"left_{k}").select("c_custkey", "c_name")
-    )
-
-# The same operators over every row of customer and orders; rows go unmatched by a condition on values.
-for _kind, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
-    query(f"SELECT c_custkey, c_name, o_orderkey FROM customer {_sql} orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 50", f"join_{_kind}_whole")(
+    query(f"SELECT c_custkey, c_name, o_orderkey FROM customer {_sql} orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 50", f"join_{_kind}")(
         lambda t, k=_kind: t.customer.join(t.orders, (c("c_custkey") == c("o_custkey")) & (c("o_totalprice") > c("c_acctbal") * 50), k).select("c_custkey", "c_name", "o_orderkey")
     )
 for _kind, _sql in (("semi", ""), ("anti", "NOT ")):
-    query(f"SELECT c_custkey, c_name FROM customer WHERE {_sql}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)", f"join_{_kind}_whole")(
+    query(f"SELECT c_custkey, c_name FROM customer WHERE {_sql}EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50)", f"join_{_kind}")(
         lambda t, k=_kind: t.customer.join(t.orders, (c("c_custkey") == c("o_custkey")) & (c("o_totalprice") > c("c_acctbal") * 50), f"left_{k}").select("c_custkey", "c_name")
     )
 
@@ -187,6 +167,9 @@ def join_using(t: Tables) -> DataFrame:
     return left.join(t.orders.where("o_orderstatus = 'F'").withColumnRenamed("o_orderkey", "k"), ["k"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
+CATALOGUE.text("join_natural", "SELECT k, n_name, customers FROM (SELECT n_nationkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY c_nationkey) b")
+
+
 _NATIONS = "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
 
 
@@ -284,6 +267,13 @@ def agg_first_last(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.min_by("o_totalprice", "o_orderkey").alias("first_price"), F.max_by("o_totalprice", "o_orderkey").alias("last_price"))
 
 
+@query("SELECT o_orderkey, first(o_custkey) AS one, last(o_orderdate) AS at FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def agg_first_last_constant(t: Tables) -> DataFrame:
+    """Of what is the same in a whole group."""
+    both = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey"))
+    return both.groupBy("o_orderkey").agg(F.first("o_custkey").alias("one"), F.last("o_orderdate").alias("at"))
+
+
 @query("SELECT l_returnflag, count(*) FILTER (WHERE l_quantity > 25) AS big, round(sum(l_tax) FILTER (WHERE l_discount = 0), 4) AS tax FROM lineitem GROUP BY l_returnflag")
 def agg_filter(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag").agg(F.count_if(c("l_quantity") > 25).alias("big"), F.round(F.sum(F.when(c("l_discount") == 0, c("l_tax"))), 4).alias("tax"))
@@ -353,51 +343,56 @@ def limit_zero(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey").limit(0)
 
 
-# ------------------------------------------------------------------ set operations
+@query("SELECT r_regionkey FROM region ORDER BY r_regionkey DESC LIMIT 2")
+def tail_rows(t: Tables) -> DataFrame:
+    """The last rows of an order, through the driver: a number of rows that the caller gives."""
+    return t.spark.createDataFrame(t.region.select("r_regionkey").orderBy("r_regionkey").tail(2), "r_regionkey int")
 
-_A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 5 = 0", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0"
 
+for _name, _limit in (("limit_sum", "2 + 1"), ("limit_cast", "CAST('4' AS INT)")):
+    CATALOGUE.text(_name, f"SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT {_limit}")
 
-def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.customer.where("c_custkey % 5 = 0").select(c("c_nationkey").alias("k")), t.supplier.where("s_suppkey % 3 = 0").select(c("s_nationkey").alias("k"))
 
+@query("SELECT n_nationkey FROM nation")
+def limit_all(t: Tables) -> DataFrame:
+    t.nation.createOrReplaceTempView("nation")
+    return t.spark.sql("SELECT n_nationkey FROM nation LIMIT ALL")
 
-for _name, _word in (("union_all", "unionAll"), ("intersect", "intersect"), ("except", "subtract"), ("intersect_all", "intersectAll"), ("except_all", "exceptAll")):
-    query(f"{_A} {_name.replace('_', ' ').upper()} {_B}", _name)(lambda t, w=_word: getattr(_sides(t)[0], w)(_sides(t)[1]))
 
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def repartition_by_key(t: Tables) -> DataFrame:
+    """An aggregation over rows dealt by its key needs no second exchange."""
+    return t.orders.select("o_custkey").repartition("o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
-@query(f"{_A} UNION ALL {_B} UNION ALL SELECT n_nationkey AS k FROM nation")
-def union_all_three(t: Tables) -> DataFrame:
-    a, b = _sides(t)
-    return a.union(b).union(t.nation.select(c("n_nationkey").alias("k")))
 
+@query("SELECT p_partkey, p_name FROM part")
+def coalesce_partitions(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", "p_name").repartition(6).coalesce(2)
 
-@query(f"{_A} UNION {_B}")
-def union_distinct(t: Tables) -> DataFrame:
-    a, b = _sides(t)
-    return a.union(b).distinct()
 
-# The same operators over every row of customer and supplier.
-_WHOLE_A, _WHOLE_B = "SELECT c_nationkey AS k, floor(c_acctbal / 1000) AS b FROM customer", "SELECT s_nationkey AS k, floor(s_acctbal / 1000) AS b FROM supplier"
+# ------------------------------------------------------------------ set operations
+
+# Over every row of customer and supplier.
+_A, _B = "SELECT c_nationkey AS k, cast(floor(c_acctbal / 1000) AS BIGINT) AS b FROM customer", "SELECT s_nationkey AS k, cast(floor(s_acctbal / 1000) AS BIGINT) AS b FROM supplier"
 
 
-def _whole_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.customer.select(c("c_nationkey").alias("k"), F.floor(c("c_acctbal") / 1000).alias("b")), t.supplier.select(c("s_nationkey").alias("k"), F.floor(c("s_acctbal") / 1000).alias("b"))
 
 
 for _name, _word in (("union_all", "unionAll"), ("intersect", "intersect"), ("except", "subtract"), ("intersect_all", "intersectAll"), ("except_all", "exceptAll")):
-    query(f"{_WHOLE_A} {_name.replace('_', ' ').upper()} {_WHOLE_B}", f"{_name}_whole")(lambda t, w=_word: getattr(_whole_sides(t)[0], w)(_whole_sides(t)[1]))
+    query(f"{_A} {_name.replace('_', ' ').upper()} {_B}", _name)(lambda t, w=_word: getattr(_sides(t)[0], w)(_sides(t)[1]))
 
 
-@query(f"{_WHOLE_A} UNION ALL {_WHOLE_B} UNION ALL SELECT n_nationkey AS k, 0 AS b FROM nation")
-def union_all_three_whole(t: Tables) -> DataFrame:
-    a, b = _whole_sides(t)
+@query(f"{_A} UNION ALL {_B} UNION ALL SELECT n_nationkey AS k, 0 AS b FROM nation")
+def union_all_three(t: Tables) -> DataFrame:
+    a, b = _sides(t)
     return a.union(b).union(t.nation.select(c("n_nationkey").alias("k"), F.lit(0).alias("b")))
 
 
-@query(f"{_WHOLE_A} UNION {_WHOLE_B}")
-def union_distinct_whole(t: Tables) -> DataFrame:
-    a, b = _whole_sides(t)
+@query(f"{_A} UNION {_B}")
+def union_distinct(t: Tables) -> DataFrame:
+    a, b = _sides(t)
     return a.union(b).distinct()
 
 
@@ -440,13 +435,19 @@ def explode(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
 
 
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def lateral_view_explode(t: Tables) -> DataFrame:
+    t.part.createOrReplaceTempView("part")
+    return t.spark.sql("SELECT p_partkey, word FROM part LATERAL VIEW explode(split(p_name, ' ')) w AS word")
+
+
 @query()
 def sample(t: Tables) -> DataFrame:
     return t.orders.sample(0.1, 5).select("o_orderkey")
 
 
-@query("SELECT count(*) AS rows, 1 AS parts FROM orders")
+@query("SELECT o_orderkey, 1 AS n FROM orders")
 def random_split(t: Tables) -> DataFrame:
     """The parts of a random split hold every row once."""
     a, b = t.orders.randomSplit([0.3, 0.7], 5)
-    return a.union(b).agg(F.count(F.lit(1)).alias("rows")).withColumn("parts", F.lit(1))
+    return a.union(b).groupBy("o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.catalogue import Catalogue, Tables
-from loomspark.functions.vector import closest_point, dot, embeddings, vector_sum
+from loomspark.functions.vector import closest_point, dot, embeddings
 from loomspark.scratch import scratch
 
 CATALOGUE = Catalogue()
@@ -67,13 +67,13 @@ def logreg_label(w: Sequence[float], data: DataFrame) -> DataFrame:
 
 
 def kmeans_fit(points: DataFrame, k: int, tolerance: float, order: str, rounds: int = 50) -> list[list[float]]:
-    """Lloyd's iterations from the first k points by ``order``; a centre without points is lost."""
+    """Lloyd's iterations from the first k points by ``order``, until the centres move by ``tolerance`` at most or for
+    so many rounds; a centre without points is lost. Each round is one aggregation, by centre, of a count and sums."""
     centres = [list(r[0]) for r in points.orderBy(order).limit(k).select("p").collect()]
     for _ in range(rounds):
         near = points.select(closest_point(c("p"), F.array(*map(literal, centres))).alias("centre"), "p")
-        counts = near.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
-        sums = vector_sum(near, ["centre"], "p", "total").join(counts, "centre").collect()
-        moved = {tuple(r["centre"]): [x / r["n"] for x in r["total"]] for r in sums}
+        sums = near.groupBy("centre").agg(F.count(F.lit(1)), *[F.sum(c("p")[i]) for i in range(len(centres[0]))]).collect()
+        moved = {tuple(r[0]): [x / r[1] for x in r[2:]] for r in sums}
         shift = sum(sqrt(sum((a - b) ** 2 for a, b in zip(old, new, strict=True))) ** 2 for old, new in moved.items())
         centres = [moved[tuple(m)] for m in centres if tuple(m) in moved]
         if shift <= tolerance:
@@ -135,20 +135,6 @@ def least_squares_fit(t: Tables) -> DataFrame:
 
 
 def _edges(t: Tables) -> DataFrame:
-    pairs = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey")).select((c("o_custkey") % 97).alias("src"), (c("l_suppkey") % 97).alias("dst")).distinct()
-    out = pairs.groupBy("src").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
-    return pairs.join(out, "src")
-
-
-@query("""WITH e AS (SELECT DISTINCT o_custkey % 97 AS src, l_suppkey % 97 AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS weight FROM e)
-SELECT dst AS id, round(0.15 + 0.85 * sum(weight), 6) AS rank FROM w GROUP BY dst""")
-def pagerank_step(t: Tables) -> DataFrame:
-    edges = _edges(t)
-    return pagerank(edges, edges.select(c("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
-
-
-def _all_edges(t: Tables) -> DataFrame:
     """A link each way for every line of an order: customers have even ids, suppliers odd ones; parallel links stay."""
     pairs = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey")).select((c("o_custkey") * 2).alias("src"), (c("l_suppkey") * 2 + 1).alias("dst"))
     pairs = pairs.union(pairs.select("dst", "src"))
@@ -159,14 +145,14 @@ def _all_edges(t: Tables) -> DataFrame:
 e AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p),
 w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS weight FROM e)
 SELECT dst AS id, round(0.15 + 0.85 * sum(weight), 6) AS rank FROM w GROUP BY dst""")
-def pagerank_step_whole(t: Tables) -> DataFrame:
-    edges = _all_edges(t)
+def pagerank_step(t: Tables) -> DataFrame:
+    edges = _edges(t)
     return pagerank(edges, edges.select(c("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def pagerank_five(t: Tables) -> DataFrame:
-    edges = _all_edges(t)
+    edges = _edges(t)
     return pagerank(edges, edges.select(c("src").alias("id")).distinct().withColumn("rank", F.lit(1.0)), 5)
 
 

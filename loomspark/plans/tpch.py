@@ -19,17 +19,19 @@ SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(s
        round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= date '1998-12-01' - interval '90' day
 GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
-    2: f"""
-WITH {PARTSUPP}, offers AS (
-  SELECT ps_partkey, ps_supplycost, s_suppkey, s_name, s_acctbal, n_name
-  FROM partsupp JOIN supplier ON s_suppkey = ps_suppkey JOIN nation ON n_nationkey = s_nationkey
+    2: """
+WITH sellers AS (
+  SELECT s_suppkey, s_name, s_acctbal, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey
   JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'EUROPE'
+), offers AS (
+  SELECT p_partkey, s_suppkey AS seller, min(l_extendedprice / l_quantity) AS cost
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN sellers ON s_suppkey = l_suppkey
+  WHERE p_size = 15 AND p_type LIKE '%ECON%' GROUP BY p_partkey, s_suppkey
+), ranked AS (
+  SELECT p_partkey, seller, cost, min(cost) OVER (PARTITION BY p_partkey) AS least FROM offers
 )
-SELECT s_acctbal, s_name, n_name, p_partkey, s_suppkey
-FROM part JOIN offers o ON p_partkey = o.ps_partkey
-WHERE p_size = 15 AND p_type LIKE '%ECON%'
-  AND o.ps_supplycost = (SELECT min(i.ps_supplycost) FROM offers i WHERE i.ps_partkey = p_partkey)
-ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+SELECT s_acctbal, s_name, n_name, p_partkey, s_suppkey FROM ranked JOIN sellers ON s_suppkey = seller
+WHERE cost = least ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
     3: """
 SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, cast(o_orderdate AS date) AS o_orderdate
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
@@ -82,10 +84,11 @@ SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS r
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey
 WHERE o_orderdate >= date '1996-10-01' AND o_orderdate < date '1996-10-01' + interval '3' month AND l_returnflag = 'R'
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
-    11: f"""
-WITH {PARTSUPP}, held AS (
-  SELECT ps_partkey, ps_supplycost * ps_availqty AS value
-  FROM partsupp JOIN supplier ON ps_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7'
+    11: """
+WITH held AS (
+  SELECT l_partkey AS ps_partkey, min(l_extendedprice / l_quantity) * (count(*) * 100) AS value FROM lineitem
+  WHERE l_suppkey IN (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_7')
+  GROUP BY l_partkey, l_suppkey
 )
 SELECT ps_partkey, round(sum(value), 2) AS value FROM held GROUP BY ps_partkey
 HAVING sum(value) > (SELECT sum(value) * cast(0.001 AS double) FROM held) ORDER BY value DESC, ps_partkey""",
@@ -111,12 +114,11 @@ WITH revenue AS (
 )
 SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey = supplier_no
 WHERE total_revenue = (SELECT max(total_revenue) FROM revenue) ORDER BY s_suppkey""",
-    16: f"""
-WITH {PARTSUPP}
-SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt
-FROM partsupp JOIN part ON p_partkey = ps_partkey
+    16: """
+SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt
+FROM lineitem JOIN part ON p_partkey = l_partkey
 WHERE p_brand <> 'Brand#12' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9)
-  AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)
+  AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < 0 AND s_suppkey = l_suppkey)
 GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
     17: """
 SELECT round(sum(l_extendedprice) / cast(7.0 AS double), 2) AS avg_yearly FROM lineitem JOIN part ON p_partkey = l_partkey
@@ -134,14 +136,13 @@ WHERE l_returnflag IN ('R', 'A') AND (
   (p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
   OR (p_brand = 'Brand#23' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30)
   OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45))""",
-    20: f"""
-WITH {PARTSUPP}
+    20: """
+WITH sold AS (
+  SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_name LIKE 'red%' GROUP BY l_partkey, l_suppkey
+  HAVING count(*) * 100 > cast(0.5 AS double) * sum(CASE WHEN l_shipdate >= date '1996-01-01' AND l_shipdate < date '1999-01-01' THEN l_quantity END)
+)
 SELECT s_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
-WHERE n_name = 'NATION_3' AND s_suppkey IN (
-  SELECT ps_suppkey FROM partsupp WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%')
-    AND ps_availqty > (SELECT cast(0.5 AS double) * sum(l_quantity) FROM lineitem
-      WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= date '1996-01-01' AND l_shipdate < date '1999-01-01'))
-ORDER BY s_name""",
+WHERE n_name = 'NATION_3' AND s_suppkey IN (SELECT l_suppkey FROM sold) ORDER BY s_name""",
     21: """
 SELECT s_name, count(*) AS numwait
 FROM supplier JOIN lineitem l ON s_suppkey = l.l_suppkey JOIN orders ON o_orderkey = l.l_orderkey JOIN nation ON s_nationkey = n_nationkey

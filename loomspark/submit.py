@@ -18,12 +18,15 @@ class Result:
     status: str
     rows: list[Row] = field(default_factory=list)
     error: str = ""
+    #: Whether there are more rows than those returned.
+    cut: bool = False
 
 
 def submit(spark: SparkSession, sql: str, most: int = 10_000) -> Result:
-    """Run a query and return its rows, ``most`` of them at most (the answer goes through the driver)."""
+    """Run a query and return its rows, ``most`` of them at most (the answer goes through the driver); ``cut`` tells if there are more."""
     try:
-        return Result("ok", spark.sql(sql).limit(most).collect())
+        rows = spark.sql(sql).limit(most + 1).collect()
+        return Result("ok", rows[:most], cut=len(rows) > most)
     except PySparkException as e:
         return Result("error", error=str(e).splitlines()[0])
 

@@ -22,11 +22,13 @@ def engine(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def cell(x):
     if isinstance(x, bool) or x is None or isinstance(x, (str, bytes)):
         return x
+    if isinstance(x, Decimal) and x == x.to_integral_value():
+        return str(int(x))
     if isinstance(x, (float, Decimal)):
         x = float(x)
-        return "nan" if math.isnan(x) else float(f"{x + 0.0:.9g}")
+        return "nan" if math.isnan(x) else f"{x:.9g}"  # the sign of zero stays
     if isinstance(x, int):
-        return float(f"{x:.9g}") if abs(x) < 1 << 53 else x
+        return str(x)  # to the last digit
     if isinstance(x, datetime.datetime) and x.time() == datetime.time():
         return x.date()
     if isinstance(x, (list, tuple)):

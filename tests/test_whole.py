@@ -15,12 +15,12 @@ SETS = ["union_all", "intersect", "except", "intersect_all", "except_all", "unio
 
 
 def count(spark, sf_dir, name):
-    return registry.QUERIES[f"{name}_whole"](spark, sf_dir).count()
+    return registry.QUERIES[name](spark, sf_dir).count()
 
 
 @pytest.mark.parametrize("name", [f"join_{x}" for x in JOINS] + SETS)
 def test_no_filter_on_ids(name):
-    assert "%" not in registry.ORACLE[f"{name}_whole"]
+    assert "%" not in registry.ORACLE[name]
 
 
 def test_joins_and_sets_take_all_rows(spark, sf_dir):
