@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of vectors serves as pivots. Each vector is represented by its ``prefix`` nearest pivots in order of
+A bounded sample of vectors serves as pivots. Each vector is represented by its ``PREFIX`` nearest pivots in order of
 nearness, and is posted, with the place of the pivot in that order, in the inverted files of these pivots. A query
-reads its own pivots' files only: a vector's footrule distance to the query (places of shared pivots, absent ones
-counted as ``prefix``) comes from adding up postings. A histogram of the distances over the whole index gives each
-query the distance that admits its ``candidates`` nearest rows; these are reranked by the exact inner product.
+reads the files of its ``ASKED`` nearest pivots: a vector's footrule distance to the query (places of shared pivots,
+absent ones counted as ``PREFIX``) comes from adding up postings, ``ASKED * PREFIX / PIVOTS`` of them a row. A
+histogram of the distances over the whole index gives each query the distance that admits its candidates, ``WIDTH``
+times the square root of the number of rows; these are reranked by the exact inner product.
 
 Inner products become angles by one more component, sqrt(M^2 - |v|^2) with M the largest norm. The index is cut into
 parts of bounded size, each holding its vectors and the inverted files over them; every row is indexed. Queries run in
-blocks of bounded size. Recall against brute force is measured in the tests and given in the README.
+blocks of bounded size, and each block's results are written. Recall against brute force is measured in the tests and
+given in the README.
 
 Nulls: null ids and null, zero or non-finite vectors take no part, as vectors whose length isn't the pivots' (the
 length of most sampled rows). A row with the query's own id isn't its candidate; other repeated rows count each.
@@ -18,7 +20,6 @@ Ties go to the smaller id. An empty table gives none.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize
-from loomspark.llm.vectors import best, by_length, matrices, query_blocks, ranked, taking_part
+from loomspark.llm.common import materialize, scratch_path, tidy
+from loomspark.llm.vectors import by_length, matrices, query_blocks, ranked, taking_part
 
 #: Pivots: a sample of at most so many rows.
-PIVOTS = 256
-#: Nearest pivots that represent a vector.
-PREFIX = 64
-#: Rows reranked for each query: BASE and one of every SHARE rows of the index.
-BASE, SHARE = 1200, 20
+PIVOTS = 2048
+#: Nearest pivots that represent a vector, and nearest pivots whose files a query reads.
+PREFIX, ASKED = 128, 64
+#: Rows reranked for each query: so many times the square root of the rows.
+WIDTH = 12
 #: Vectors in a part of the index.
-PART = 4096
+PART = 8192
 #: Queries in a block.
-QUERIES = 512
+QUERIES = 4096
 BINS = 64
 
 
+FOUND = "query_id long, rank int, vec_id long, score double"
+
+
 def sampled_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     """At most ``pivots`` different vectors of the most frequent length, those of the smallest id hashes."""
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
@@ -94,44 +98,37 @@ def build(rows: DataFrame, pivots: np.ndarray, longest: float, prefix: int, part
     return materialize(rows.mapInArrow(index, "part long, ids binary, vecs binary, starts binary, posted binary, places binary"), "permutations")
 
 
-def search(index: DataFrame, block, pivots: np.ndarray, longest: float, prefix: int, candidates: int, k: int) -> DataFrame:
+def nearness(row: dict, order: np.ndarray, prefix: int):
+    """For each query (its pivots in order) the nearness of a part's rows: prefix minus difference of places, summed over shared pivots."""
+    starts, posted, places = (np.frombuffer(row[c], t) for c, t in (("starts", "<i4"), ("posted", "<i4"), ("places", "<i2")))
+    rows = len(row["ids"]) // 8
+    for own in order:
+        a, n = starts[own], starts[own + 1] - starts[own]
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        worth = prefix - np.abs(places[at].astype(np.int32) - np.repeat(np.arange(len(own), dtype=np.int32), n))
+        yield np.bincount(posted[at], worth, rows).astype(np.int32)
+
+
+def search(index: DataFrame, block, pivots: np.ndarray, longest: float, prefix: int, asked: int, candidates: int, k: int, out: str) -> None:
+    """Write rows (query_id, rank, vec_id, score) of a block of queries."""
     spark = index.sparkSession
     dim = pivots.shape[1]
     _, own, q = by_length(block).get(dim, (None, np.zeros(0, np.int64), np.zeros((0, dim))))
-    wide = np.concatenate([q, np.zeros((len(q), 1))], 1)
-    order = permutations(wide, raised(pivots, longest) / longest, prefix) if len(q) else np.zeros((0, prefix), int)
+    if not len(q):
+        return
+    order = permutations(np.concatenate([q, np.zeros((len(q), 1))], 1), raised(pivots, longest) / longest, min(asked, prefix))
     shared = spark.sparkContext.broadcast((own, q, order))
-    most = order.shape[1] if len(q) else prefix
-    step = max(1, -(-(most * most + 1) // BINS))
-
-    def parts(batches):
-        """Each part with the nearness of its rows to each query: prefix minus difference of places, summed over shared pivots.
+    prefix = min(prefix, len(pivots))
+    step = max(1, -(-(prefix * order.shape[1] + 1) // BINS))
 
-        Each pivot's inverted file is read once for the whole block: a posting adds a row of what it is worth to every query.
-        """
-        own, q, order = shared.value
-        asked = np.full((len(pivots), len(own)), -1, np.int16)
-        for place in range(order.shape[1]):
-            asked[order[:, place], np.arange(len(own))] = place
-        places_ = np.arange(most, dtype=np.int16)[:, None]
+    def bins(batches):
+        own, _, order = shared.value
+        total = np.zeros((len(own), BINS), np.int64)
         for b in batches:
             for row in b.to_pylist():
-                ids, starts, posted, places = (np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("starts", "<i4"), ("posted", "<i4"), ("places", "<i2")))
-                near = np.zeros((len(ids), len(own)), np.int16)
-                for p, there in enumerate(asked):
-                    a, z = starts[p], starts[p + 1]
-                    if z > a and (there >= 0).any():
-                        worth = np.where(there >= 0, most - np.abs(places_ - there), 0).astype(np.int16)
-                        near[posted[a:z]] += worth[places[a:z]]  # a vector is posted once a pivot, so no row repeats
-                near[ids[:, None] == own[None, :]] = -1
-                yield ids, row["vecs"], near
-
-    def bins(batches):
-        total = np.zeros((len(own), BINS + 1), np.int64)
-        for _, _, near in parts(batches):
-            cell = near // np.int16(step) + np.int16(1) + (np.arange(len(own), dtype=np.int32) * (BINS + 1))[None, :]
-            total += np.bincount(cell.ravel(), minlength=total.size).reshape(total.shape)
-        total = total[:, 1:]
+                ids = np.frombuffer(row["ids"], "<i8")
+                for i, near in enumerate(nearness(row, order, prefix)):
+                    total[i] += np.bincount(near[ids != own[i]] // step, minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(own)), pa.int32()), *[pa.array(total[:, i], pa.int64()) for i in range(BINS)]], names=["q", *names])
 
     names = [f"h{i}" for i in range(BINS)]
@@ -143,39 +140,41 @@ def search(index: DataFrame, block, pivots: np.ndarray, longest: float, prefix:
     admitted = spark.sparkContext.broadcast(floor)
 
     def rerank(batches):
-        own, q, _ = shared.value
-        kept = []
-        for ids, vecs, near in parts(batches):
-            m = np.frombuffer(vecs, "<f8").reshape(len(ids), dim)
-            col, line = np.nonzero((near >= 0) & (near >= admitted.value[None, :].astype(np.int16)))
-            for a in range(0, len(line), 1 << 17):
-                i, j = line[a : a + (1 << 17)], col[a : a + (1 << 17)]
-                kept.append((own[i], ids[j], np.einsum("ij,ij->i", q[i], m[j])))
-            if kept:
+        own, q, order = shared.value
+        for b in batches:
+            for row in b.to_pylist():
+                ids = np.frombuffer(row["ids"], "<i8")
+                m = np.frombuffer(row["vecs"], "<f8").reshape(len(ids), dim)
+                kept = []
+                for i, near in enumerate(nearness(row, order, prefix)):
+                    at = np.flatnonzero((near >= admitted.value[i]) & (ids != own[i]))
+                    score = np.einsum("ij,j->i", m[at], q[i])
+                    top = np.lexsort((ids[at], -score))[:k]
+                    kept.append((np.full(len(top), own[i]), ids[at][top], score[top]))
                 who, vec, score = map(np.concatenate, zip(*kept, strict=True))
-                top = best(score, who, vec, k)
-                kept = [(who[top], vec[top], score[top])]
-        for who, vec, score in kept:
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(rerank, "query_id long, vec_id long, score double")
+    ranked(index.mapInArrow(rerank, "query_id long, vec_id long, score double"), k).write.mode("append").parquet(out)
+    shared.destroy()
+    admitted.destroy()
 
 
-def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, candidates: int | None = None) -> DataFrame:
+def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, asked: int = ASKED, candidates: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product."""
     spark = table.sparkSession
-    rows = table.where(taking_part(nonzero=True)).select("vec_id", "embedding")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n, longest = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(squares))).first()
-    chosen = sampled_pivots(rows, pivots)
-    found = []
-    if len(chosen):
-        index = build(rows, chosen, longest, prefix, PART)
-        want = candidates or BASE + n // SHARE
-        found = [search(index, q, chosen, longest, prefix, want, k) for q in query_blocks(queries.where(taking_part(nonzero=True)).select("vec_id", "embedding"), QUERIES)]
-    if not found:
-        found = [spark.createDataFrame([], "query_id long, vec_id long, score double")]
-    return ranked(reduce(DataFrame.union, found), k)
+    with tidy(spark):
+        rows = table.where(taking_part(nonzero=True)).select("vec_id", "embedding")
+        squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        n, longest = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(squares))).first()
+        chosen = sampled_pivots(rows, pivots)
+        out = scratch_path(spark, "neighbours", keep=True)
+        spark.createDataFrame([], FOUND).write.parquet(out)
+        if len(chosen):
+            index = build(rows, chosen, longest, prefix, PART)
+            want = candidates or max(k, int(np.ceil(WIDTH * np.sqrt(n))))
+            for block in query_blocks(queries.where(taking_part(nonzero=True)).select("vec_id", "embedding"), QUERIES):
+                search(index, block, chosen, longest, prefix, asked, want, k, out)
+    return spark.read.schema(FOUND).parquet(out)
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Order 5, over the bytes of UTF-8, so nothing is out of vocabulary. Training and
 
 So an n-gram travels once for each block and not once for each occurrence, and no text or model is collected.
 A fifth of the trusted documents, by hash, is kept out of training; the quantiles of their perplexities, by language,
-give the thresholds, so that training text doesn't flatter them.
+give the thresholds, so that training text doesn't flatter them. They are taken at their upper 95 % confidence limit, which matters where a
+language has few such rows and tends to the quantile where it has many.
 Words repeated over and over look fluent to five bytes. A text's repetition, the share of its words that occur among
 the ``NEAR`` words before (one such word isn't counted), is therefore held against a threshold made the same way, the
 language's or that over all languages, whichever is larger; above it a text isn't kept, whatever its perplexity.
@@ -28,6 +29,8 @@ gives none. Input columns named like the output's are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ ORDER = 5
 BLOCK = 6 << 20
 #: Blocks that a shard answers in one task, and lists of counts merged in one.
 FAN = 256
-#: The threshold is this quantile of the held-out trusted perplexities of the language.
+#: The threshold is this quantile of the held-out trusted perplexities of the language (its upper 95 % confidence limit).
 QUANTILE = 0.995
 #: Labels up to this many are sent to every executor (16 bytes each); more are joined by shuffle.
 SENT = 2_000_000
@@ -271,6 +274,13 @@ def trusted(labels: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT else ids
 
 
+def upper_quantile(x: str, q: float):
+    """The upper 95 % confidence limit of a column's quantile, its error as of a normal law: few rows don't show their upper end."""
+    law = NormalDist()
+    width = law.inv_cdf(0.95) * sqrt(q * (1 - q)) / law.pdf(law.inv_cdf(q))
+    return F.percentile_approx(x, q, 10_000) + F.stddev_pop(x) * width / F.sqrt(F.count(x))
+
+
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str], quantile: float = QUANTILE) -> DataFrame:
     """Columns ``carry`` of ``docs`` with perplexity (a byte), threshold (of the language) and keep."""
     spark = docs.sparkSession
@@ -283,7 +293,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str], quantile: flo
         scored = score(known).select(*keep, "_llm_trusted", "_llm_train", "_llm_bits", "_llm_repeat")
         scored = materialize(scored, "scored", keep=True)
         held = scored.where("_llm_trusted and not _llm_train and _llm_bits is not null")
-        cut = lambda x: F.percentile_approx(x, quantile, 10_000)
+        cut = lambda x: upper_quantile(x, quantile)
         limits = held.groupBy(F.col("lang").alias("_llm_lang")).agg(cut("_llm_bits").alias("_llm_cut"), cut("_llm_repeat").alias("_llm_most"))
         limits = materialize(limits, "limits", keep=True)
         every, again = held.agg(cut("_llm_bits"), cut("_llm_repeat")).first()

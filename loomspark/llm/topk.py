@@ -5,7 +5,8 @@ summed over the cluster, and each query keeps the bin that holds its k-th best s
 rows or a single value. Then rows at or above each query's threshold are filtered, cut to k in each task and ranked.
 Ties go to the smaller id, so thousands of equal vectors cost k rows a task and no more.
 
-Queries are taken in blocks of bounded size, each against all rows. Nulls: a null id, a null vector and a vector
+Queries are taken in blocks of bounded size, each against all rows, and each block's results are written. Scores are
+longs: vectors so long that an inner product might not fit 62 bits raise an OverflowError. Nulls: a null id, a null vector and a vector
 with a null or non-finite component take no part. Vectors of another length than the query's aren't its candidates.
 A row with the query's own id isn't either; other repeated rows are candidates of their own. An empty table or one
 without queries gives no rows; fewer candidates than k give all. Other columns of the input are ignored.
@@ -13,19 +14,19 @@ without queries gives no rows; fewer candidates than k give all. Other columns o
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import vectors
+from loomspark.llm.common import scratch_path, tidy
 from loomspark.llm.vectors import best, by_length, matrices, query_blocks, ranked, taking_part
 
 BINS = 64
 #: Selection stops when no more than this many times k rows are at or above a query's bin.
 SLACK = 4
+FOUND = "query_id long, rank int, vec_id long, score long"
 
 
 def quantize(x: np.ndarray, scale: int) -> np.ndarray:
@@ -49,21 +50,25 @@ def topk(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, blo
                 yield pa.RecordBatch.from_pydict({"m": [float(np.sqrt((quantize(m, scale) ** 2).sum(1)).max())] if m.size else [0.0]})
 
     longest = rows.mapInArrow(norms, "m double").agg(F.max("m")).first()[0] or 0.0
-    found = [one_block(spark, rows, q, k, scale, longest) for q in query_blocks(queries.where(taking_part()).select("vec_id", "embedding"), block)]
-    if not found:
-        found = [spark.createDataFrame([], "query_id long, vec_id long, score long")]
-    return ranked(reduce(DataFrame.union, found), k)
+    with tidy(spark):
+        out = scratch_path(spark, "topk", keep=True)
+        spark.createDataFrame([], FOUND).write.parquet(out)
+        for q in query_blocks(queries.where(taking_part()).select("vec_id", "embedding"), block):
+            one_block(spark, rows, q, k, scale, longest, out)
+    return spark.read.schema(FOUND).parquet(out)
 
 
-def one_block(spark: SparkSession, rows: DataFrame, block, k: int, scale: int, longest: float) -> DataFrame:
+def one_block(spark: SparkSession, rows: DataFrame, block, k: int, scale: int, longest: float, out: str) -> None:
     groups = {n: (at, ids, quantize(m, scale)) for n, (at, ids, m) in by_length(block).items()}
     reach = np.zeros(len(block))
     for at, _, m in groups.values():
         reach[at] = np.sqrt((m * m).sum(1)) * longest
+    if reach.max(initial=0) >= 2.0**62:
+        raise OverflowError("inner products of these vectors may not fit a long; take a smaller scale")
     exact = reach.max(initial=0) < 2.0**52
     shared = spark.sparkContext.broadcast(groups)
     size = len(block)
-    reach = np.minimum(np.ceil(reach) + 1, 2.0**61).astype(np.int64)
+    reach = np.ceil(reach).astype(np.int64) + 1
     low, width = -reach, (2 * reach + BINS) // BINS  # scores are in [low, low + BINS * width)
     above, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
     live = np.ones(size, bool)
@@ -104,7 +109,7 @@ def one_block(spark: SparkSession, rows: DataFrame, block, k: int, scale: int, l
             if width[i] == 1 or count[i] <= SLACK * k:
                 live[i] = False
             width[i] = max(1, (width[i] + BINS - 1) // BINS)
-        edges.unpersist()
+        edges.destroy()
     floor = spark.sparkContext.broadcast(low)
 
     def keep(batches):
@@ -125,7 +130,9 @@ def one_block(spark: SparkSession, rows: DataFrame, block, k: int, scale: int, l
         for q_id, vec, s in parts:
             yield pa.RecordBatch.from_arrays([pa.array(q_id, pa.int64()), pa.array(vec, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(keep, "query_id long, vec_id long, score long")
+    ranked(rows.mapInArrow(keep, "query_id long, vec_id long, score long"), k).write.mode("append").parquet(out)
+    shared.destroy()
+    floor.destroy()
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

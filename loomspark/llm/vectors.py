@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import materialize, positions
 
 #: Queries scored against all candidates at a time: what is broadcast is at most this many vectors.
-BLOCK = 1024
+BLOCK = 4096
 #: Candidate rows turned into one score matrix.
-ROWS = 2048
+ROWS = 512
 
 
 def taking_part(nonzero: bool = False) -> Column:

@@ -10,7 +10,8 @@ from helpers import documents, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspark.llm import quality
+from loomspark.llm import common, jaccard, quality, substring
+from loomspark.llm.common import word_hashes
 from loomspark.llm.jaccard import Bands, class_of, join, signatures
 from loomspark.llm.langid import codebook, fit, op2_langid, predict
 from loomspark.llm.substring import chunk, gear, repeats
@@ -82,6 +83,40 @@ def test_jaccard_join_equals_brute_force(spark, n, percent):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(rows, n, percent)
 
 
+def test_rounds_and_cells_equal_brute_force(spark, monkeypatch):
+    """One large group whose members are far from its smallest, named one at a time, in cells of a few classes."""
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "NAMED", 1)
+    rng = random.Random(9)
+    base, rows = words(rng, 120), []
+    for i in range(120):
+        rows.append((i, " ".join(edit(rng, base, rng.randint(1, 4)))))
+    passage = words(rng, 60)  # shares signatures, but nothing links
+    rows += [(500 + i, " ".join(passage + words(rng, 30))) for i in range(40)]
+    got = join(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85)
+
+
+def test_words_that_meet_under_sums_of_powers(spark):
+    """Thue-Morse words and their complements have the same polynomial hash modulo 2**64 for every odd base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert word_hashes(one.encode()) != word_hashes(two.encode())
+    got = {r.doc_id: r.component_id for r in join(documents(spark, [(1, f"{one} x y z"), (2, f"{two} x y z"), (3, f"{one} x y z")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    tail = " ".join(words(random.Random(1), 40))
+    long = {r.doc_id: r.removed_words for r in repeats(documents(spark, [(1, f"{one} " * 40), (2, f"{two} " * 40), (3, tail)])).collect()}
+    assert long[2] == long[1] and long[3] == 0
+
+
+def test_word_hashes_block_by_block(monkeypatch):
+    text = " \t".join(words(random.Random(2), 500)).encode() + b" " + b"x" * 300 + b"\n\x0b"
+    whole = word_hashes(text)
+    assert len(whole) == len(text.split()) and len(word_hashes(b"")) == 0 and len(word_hashes(b" \n")) == 0
+    monkeypatch.setattr(common, "BLOCK", 37)
+    assert (word_hashes(text) == whole).all()
+
+
 def test_jaccard_join_of_nothing(spark):
     assert join(documents(spark, [])).collect() == []
 
@@ -229,3 +264,43 @@ def test_planted_passages_are_cut_once(spark):
     clean = dict(rows)
     assert all(r.text == clean[r.doc_id] for r in got if not r.removed_words and r.doc_id is not None)
     assert repeats(documents(spark, [])).collect() == []
+
+
+def brute_repeats(rows):
+    """The first occurrence of a chunk stays; runs of others of RUN words or more go."""
+    seen, out = set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        raw = (t or "").encode()
+        digest, first, n = chunk(raw)
+        again = []
+        for x in digest.tolist():
+            again.append(x in seen)
+            seen.add(x)
+        stop, kept, at, i, gone = [*first.tolist(), len(raw)], [], 0, 0, 0
+        while i < len(again):
+            j = i
+            while j < len(again) and again[j]:
+                j += 1
+            if j > i and n[i:j].sum() >= substring.RUN:
+                kept.append(raw[at : stop[i]])
+                at, gone = stop[j], gone + int(n[i:j].sum())
+            i = max(j, i + 1)
+        out[d] = (None if t is None else (b"".join([*kept, raw[at:]]).rstrip() if gone else raw).decode(), gone)
+    return out
+
+
+def test_repeats_equal_brute_force(spark, monkeypatch):
+    """Blocks of a few documents, merged and answered two at a time; one passage stands in every document."""
+    monkeypatch.setattr(substring, "FAN", 2)
+    rng = random.Random(6)
+    passages = [words(rng, rng.randint(30, 90)) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        body = words(rng, rng.randint(0, 80))
+        for p in rng.sample(passages, rng.randint(0, 3)):
+            at = rng.randint(0, len(body))
+            body[at:at] = p
+        rows.append((i * 7 % 97, " ".join(body + passages[0])))
+    rows += [(200, None), (201, ""), (202, " \n "), (203, rows[0][1]), (None, rows[1][1]), (204, "é " * 3 + " ".join(passages[1]) * 2)]
+    got = {r.doc_id: (r.text, r.removed_words) for r in repeats(documents(spark, rows), block=3000).collect()}
+    assert got == brute_repeats(rows)

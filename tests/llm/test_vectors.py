@@ -47,6 +47,30 @@ def test_topk_edges(spark):
     assert [r.vec_id for r in topk(big, big.where("vec_id = 0")).orderBy("rank").collect()] == [8, 7, 6, 5, 4]
 
 
+def test_scores_beyond_a_long_are_refused(spark):
+    wide = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e8, 0.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(OverflowError):
+        topk(wide, wide.where("vec_id = 0"))
+    got = topk(wide, wide.where("vec_id = 0"), scale=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 10**16), (2, 0)]
+
+
+def test_recall_of_the_settings_in_use(spark):
+    """Vectors without any structure, the hardest case; under a tenth of the rows are reranked."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(16_000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    queries = np.arange(0, len(v), 400)
+    found = {}
+    for r in neighbours(df, df.where("vec_id % 400 = 0")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    score = v[queries].astype(float) @ v.T.astype(float)
+    score[np.arange(len(queries)), queries] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(w)) / 20 for q, w in zip(queries, want.tolist(), strict=True)]) >= 0.9
+
+
 def test_neighbours_recall(spark, table):
     df, vectors = table
     got = neighbours(df, df.where("vec_id % 20 = 0"), pivots=64, prefix=24, candidates=200).collect()
