@@ -133,7 +133,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int) -> None:
         if doc_ids:
             yield pa.RecordBatch.from_pydict({"data": [pack(number, doc_ids, np.array(ends), np.frombuffer(b"".join(parts), "<u4"))]})
 
-    ordered.mapInArrow(write, "data binary").select(F.col("data").cast("string").alias("value")).write.text(path)
+    ordered.mapInArrow(write, "data binary").select(F.col("data").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

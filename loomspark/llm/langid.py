@@ -62,11 +62,11 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slices(texts: list[str | None]):
-    """Runs of (row, part of its text) of about ``STEP`` characters."""
+    """Runs of (row, part of its text) of about ``STEP`` characters; a part takes the two before it too, so no n-gram is lost (a pair counts twice there)."""
     out, total = [], 0
     for row, t in enumerate(texts):
         for at in range(0, len(t or ""), STEP):
-            part = t[at : at + STEP]
+            part = t[max(0, at - 2) : at + STEP]
             out.append((row, part))
             total += len(part)
             if total >= STEP:
