@@ -404,13 +404,26 @@ def connected(docs: DataFrame, found: DataFrame, known: DataFrame, n: int, perce
         if pairs.limit(1).count():
             if held is None:  # later rounds name none but these
                 held = sets_of(docs, known, sides(pairs).union(live.select("class")), n)
-            links, done = links.union(linked(pairs, held, percent)), done.union(pairs)
-            comp = materialize(components(links, "a", "b"), "components")
+            done = done.union(pairs)
+            comp = merged(comp, linked(pairs, held, percent))
         if not live.limit(1).count():
             return comp
         named *= 2
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after further links between classes; only links between its components are looked at, as links of those."""
+    side = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    over = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    over = materialize(over, "over")
+    if not over.limit(1).count():
+        return comp
+    more = materialize(components(over, "a", "b"), "components")
+    now = comp.join(more.select(F.col("node").alias("old"), F.col("comp").alias("new")), F.col("comp") == F.col("old"), "left")
+    return materialize(now.select("node", F.coalesce("new", "comp").alias("comp")).union(more).distinct(), "components")
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Rows (doc_id, key, n_shingles, class, component, component_id) of all ``docs`` (doc_id, text).
 
