@@ -45,12 +45,15 @@ BUCKET = 1 << 19
 PACK = 24 << 20
 #: Parts of the universe whose counts bound a pair's difference before whole sets are compared.
 COUNTS = 512
-#: Postings compared across components in one task.
+#: Postings compared across components in one task, while each names few others.
 ACROSS = 20_000
 #: Classes of a signature compared with each other in one task.
 CELL = 2048
 #: Other classes that a posting names in the first round.
 NAMED = 2
+#: Pairs of postings whose counts a task compares at a time, and compared pairs that it holds.
+PAIRS = 1 << 13
+HELD = 1 << 19
 #: Ids of candidate documents sent to every executor (8 bytes each), beyond which they are joined by shuffle.
 SENT = 2_000_000
 
@@ -262,40 +265,68 @@ def dealt(found: DataFrame, comp: DataFrame) -> DataFrame:
     return live.select("sig", cell.alias("cell"), "part", "class", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("to"))
 
 
-def _pairs(first: np.ndarray, end: np.ndarray, most: int = 1 << 17):
-    """(i, j) of the pairs i < j within runs of rows, about ``most`` at a time."""
-    out, held = [], 0
-    for s, e in zip(first.tolist(), end.tolist(), strict=True):
-        i, j = np.triu_indices(e - s, 1)
-        for a in range(0, len(i), most):
-            out.append((i[a : a + most] + s, j[a : a + most] + s))
-            held += len(out[-1][0])
-            if held >= most:
-                yield map(np.concatenate, zip(*out, strict=True))
-                out, held = [], 0
-    if out:
-        yield map(np.concatenate, zip(*out, strict=True))
+def _pairs(first: np.ndarray, end: np.ndarray):
+    """(i, j) of the pairs i < j within runs of rows, at most ``PAIRS`` at a time unless a single i has more."""
+    many = end - first
+    row = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+    rest = np.repeat(end, many) - 1 - row
+    upto = np.concatenate([[0], np.cumsum(rest)])
+    a = 0
+    while a < len(row):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        i = np.repeat(row[a:z], rest[a:z])
+        if len(i):
+            yield i, i + 1 + np.arange(len(i)) - np.repeat(upto[a:z] - upto[a], rest[a:z])
+        a = z
 
 
 def _near(first, end, size, of, cell, part, counts, percent):
-    """(i, j, score) of the pairs of a cell that may link: other component, sizes and counts allow it.
+    """(i, j, score) of the pairs of a cell that may link: other component, sizes and counts allow it. Some at a time.
 
     Counts of 16 parts together are looked at first. Where a cell holds two parts, pairs within one are another cell's.
     """
     coarse = counts.reshape(len(counts), -1, 16).sum(2, dtype=np.uint16)
     two = (cell >> 32) != (cell & 0xFFFFFFFF)
-    out = [(np.zeros(0, np.int64),) * 3]
     for i, j in _pairs(first, end):
         ok = (of[i] != of[j]) & (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent) & (~two[i] | (part[i] != part[j]))
         i, j = i[ok], j[ok]
         far = np.zeros(len(i), np.int64)
         for c in (coarse, counts):
             x, y = c[i], c[j]
-            far = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
+            more = np.maximum(x, y)
+            more -= np.minimum(x, y, out=x)
+            far = more.sum(1, dtype=np.int64)
             ok = far * (100 + percent) <= (100 - percent) * (size[i] + size[j])
             i, j, far = i[ok], j[ok], far[ok]
-        out.append((i, j, (far << 20) // (size[i] + size[j])))
-    return map(np.concatenate, zip(*out, strict=True))
+        yield i, j, (far << 20) // (size[i] + size[j])
+
+
+def _nearest(near, cls, at, to, most: int):
+    """(i, j, score, rank) of the first ``most`` pairs of each i that are not done, by score and class, of pairs both ways.
+
+    While the pairs come, what can't be among the first is dropped: no more than those and ``HELD`` are held, or twice those.
+    """
+
+    def best(held):
+        i, j, score = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((cls[j], score, i))
+        i, j, score = i[order], j[order], score[order]
+        begin = np.flatnonzero(np.diff(i, prepend=-1))
+        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+        first = rank < most
+        return i[first], j[first], score[first], rank[first]
+
+    held, many, full = [(np.zeros(0, np.int64),) * 3], 0, HELD
+    for i, j, score in near:
+        i, j, score = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(score, 2)
+        new = ((score > at[i]) | (score == at[i]) & (cls[j] > to[i])) & ((score > at[j]) | (score == at[j]) & (cls[i] > to[j]))
+        held.append((i[new], j[new], score[new]))
+        many += len(held[-1][0])
+        if many > full:
+            held = [best(held)[:3]]
+            many = len(held[0][0])
+            full = max(HELD, 2 * many)
+    return best(held)
 
 
 def candidates(live: DataFrame, comp: DataFrame, known: DataFrame, percent: int, named: int) -> tuple[DataFrame, DataFrame]:
@@ -308,21 +339,15 @@ def candidates(live: DataFrame, comp: DataFrame, known: DataFrame, percent: int,
     mixed = live.groupBy("sig", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", "cell")
     live = live.join(mixed, ["sig", "cell"]).join(known.select("class", "size", "counts"), "class")
     live = materialize(live.select("sig", "cell", "part", "class", "comp", "size", "counts", "at", "to"), "across")
-    buckets = max(8, live.count() // ACROSS)
+    buckets = max(8, live.count() * max(1, named // 16) // ACROSS)
 
     def name(table):
         table = table.sort_by([("sig", "ascending"), ("cell", "ascending"), ("class", "ascending")])
         sig, cell, part, cls, of, size, at, to = (table.column(x).to_numpy() for x in ("sig", "cell", "part", "class", "comp", "size", "at", "to"))
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS)
         first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])]))
-        i, j, score = _near(first, np.append(first[1:], len(sig)), size, of, cell, part, counts, percent)
-        i, j, score = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(score, 2)
-        new = ((score > at[i]) | (score == at[i]) & (cls[j] > to[i])) & ((score > at[j]) | (score == at[j]) & (cls[i] > to[j]))
-        i, j, score = i[new], j[new], score[new]
-        order = np.lexsort((cls[j], score, i))
-        i, j, score = i[order], j[order], score[order]
-        begin = np.flatnonzero(np.diff(i, prepend=-1))
-        rank = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+        near = _near(first, np.append(first[1:], len(sig)), size, of, cell, part, counts, percent)
+        i, j, score, rank = _nearest(near, cls, at, to, named + 1)
         now = rank < named
         got = np.unique(np.stack([np.minimum(cls[i[now]], cls[j[now]]), np.maximum(cls[i[now]], cls[j[now]])], 1), axis=0)
         last = (rank == named - 1) & np.isin(i, i[rank == named])
