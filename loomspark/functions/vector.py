@@ -25,6 +25,15 @@ def vector_add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _zero(x) + _zero(y))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """SQL's round of a double: halves away from zero; what is below zero and comes to nothing is -0.0, as -0.0 itself.
+
+    Spark's own takes the sign from such numbers. Where the scaled number isn't finite, it stays as it is.
+    """
+    scaled = F.abs(x) * F.lit(10.0**digits)
+    return F.when(scaled < float("inf"), F.round(scaled) / F.lit(10.0**digits) * F.signum(x)).otherwise(x)
+
+
 def vector_multiply(v: Column, k: Column) -> Column:
     return F.transform(v, lambda x: x * k)
 
@@ -65,12 +74,12 @@ _V = "(SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
 @query(f"SELECT vec_id, round(list_dot_product(v, list_reverse(v)), 6) AS d FROM {_V} e")
 def vec_dot(t: Tables) -> DataFrame:
-    return embeddings(t).select("vec_id", F.round(dot(F.col("v"), F.reverse("v")), 6).alias("d"))
+    return embeddings(t).select("vec_id", rounded(dot(F.col("v"), F.reverse("v")), 6).alias("d"))
 
 
 @query(f"SELECT vec_id, list_transform(list_zip(v, list_reverse(v)), lambda p: round(p[1] + p[2], 6)) AS s FROM {_V} e")
 def vec_add(t: Tables) -> DataFrame:
-    return embeddings(t).select("vec_id", F.transform(vector_add(F.col("v"), F.reverse("v")), lambda x: F.round(x, 6)).alias("s"))
+    return embeddings(t).select("vec_id", F.transform(vector_add(F.col("v"), F.reverse("v")), lambda x: rounded(x, 6)).alias("s"))
 
 
 @query(f"SELECT vec_id, list_transform(v, lambda x: round(x * label, 6) + 0.0) AS s FROM {_V} e")
@@ -81,7 +90,7 @@ def vec_scale(t: Tables) -> DataFrame:
 @query(f"SELECT label, array_agg(s ORDER BY pos) AS total FROM (SELECT label, pos, round(sum(x), 4) AS s FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {_V} e) u GROUP BY label, pos) w GROUP BY label")
 def vec_sum(t: Tables) -> DataFrame:
     summed = vector_sum(embeddings(t), ["label"], "v", "total")
-    return summed.select("label", F.transform("total", lambda x: F.round(x, 4)).alias("total"))
+    return summed.select("label", F.transform("total", lambda x: rounded(x, 4)).alias("total"))
 
 
 _CENTRES = [[1.0] + [0.0] * 63, [0.0] * 63 + [1.0], [-1.0] + [0.0] * 63]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.catalogue import Catalogue, Tables
-from loomspark.functions.vector import closest_point, dot, embeddings
+from loomspark.functions.vector import closest_point, dot, embeddings, rounded
 from loomspark.scratch import scratch
 
 CATALOGUE = Catalogue()
@@ -110,7 +110,7 @@ def pagerank(edges: DataFrame, ranks: DataFrame, iterations: int = 1) -> DataFra
 @query("""SELECT c_custkey, round((c_acctbal - m) / s, 6) AS c_acctbal
 FROM customer, (SELECT avg(c_acctbal) AS m, sqrt(avg(c_acctbal * c_acctbal) - avg(c_acctbal) * avg(c_acctbal)) AS s FROM customer) v""", "normalize")
 def normalize_query(t: Tables) -> DataFrame:
-    return normalize(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
+    return normalize(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal"]).select("c_custkey", rounded(c("c_acctbal"), 6).alias("c_acctbal"))
 
 
 @query("SELECT [p_size::DOUBLE, p_retailprice] AS x, (p_partkey % 2)::DOUBLE AS y FROM part", "prepare")
