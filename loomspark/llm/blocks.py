@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loomspark.llm.common import chunks
+from loomspark.llm.common import chunks, lean
 
 
 def small(a: np.ndarray, kind: str) -> bytes:
@@ -89,7 +89,7 @@ def write_blocks(docs: DataFrame, path: str, block: int, ask: Callable[[pa.Table
             yield from emit(number, held)
 
     names, types = ["kind", "block", "shard", "data", "more"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    rows = docs.mapInArrow(work, "kind int, block long, shard int, data binary, more binary")
+    rows = docs.mapInArrow(lean(work), "kind int, block long, shard int, data binary, more binary")
     rows.write.partitionBy("kind").option("compression", "none").parquet(path)
 
 

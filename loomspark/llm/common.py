@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
+import inspect
 import re
 import shutil
 import tempfile
@@ -14,6 +16,7 @@ from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +118,41 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give this process's free memory back to the system: allocators keep it, and Spark keeps idle workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim:
+        trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` of mapInArrow or of (cogrouped) applyInArrow, whose worker releases memory at the end of each partition or group."""
+    if inspect.isgeneratorfunction(work):
+
+        def rows(batches):
+            try:
+                yield from work(batches)
+            finally:
+                release()
+
+        return rows
+
+    def one(a):
+        try:
+            return work(a)
+        finally:
+            release()
+
+    def two(a, b):
+        try:
+            return work(a, b)
+        finally:
+            release()
+
+    return {1: one, 2: two}[len(inspect.signature(work).parameters)]  # Spark looks at how many there are
+
+
 def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     """Null-safe equality of the columns ``names`` of both sides."""
     out = F.lit(True)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import small, split, unsmall
-from loomspark.llm.common import chunks, components, delete, doc_key, materialize, mix64, scratch_path, shingle_hashes, stage, tidy, word_hashes
+from loomspark.llm.common import chunks, components, delete, doc_key, lean, materialize, mix64, scratch_path, shingle_hashes, stage, tidy, word_hashes
 
 #: Signatures that a bucket is made for.
 BUCKET = 1 << 19
@@ -46,14 +46,14 @@ PACK = 24 << 20
 #: Parts of the universe whose counts bound a pair's difference before whole sets are compared.
 COUNTS = 512
 #: Postings compared across components in one task, while each names few others.
-ACROSS = 20_000
+ACROSS = 8_000
 #: Classes of a signature compared with each other in one task.
 CELL = 2048
 #: Other classes that a posting names in the first round.
 NAMED = 2
 #: Pairs of postings whose counts a task compares at a time, and compared pairs that it holds.
 PAIRS = 1 << 13
-HELD = 1 << 19
+HELD = 1 << 17
 #: Ids of candidate documents sent to every executor (8 bytes each), beyond which they are joined by shuffle.
 SENT = 2_000_000
 
@@ -186,7 +186,7 @@ def post(docs: DataFrame, path: str, n: int, percent: int, buckets: int) -> None
 
     names = ["kind", "doc_id", "key", "size", "class", "counts", "bucket", "sigs", "places", "classes"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    rows = docs.mapInArrow(work, "kind int, doc_id long, key long, size long, class long, counts binary, bucket int, sigs binary, places binary, classes binary")
+    rows = docs.mapInArrow(lean(work), "kind int, doc_id long, key long, size long, class long, counts binary, bucket int, sigs binary, places binary, classes binary")
     rows.write.partitionBy("kind").option("compression", "none").parquet(path)
 
 
@@ -221,7 +221,7 @@ def groups(spark: SparkSession, path: str, out: str) -> DataFrame:
     empty = schema.empty_table()
     form = "bucket int, sigs binary, places binary, classes binary, kind int"
     posted = spark.read.schema(form).parquet(path).where("kind = 1").select("bucket", "sigs", "places", "classes")
-    found = posted.groupBy("bucket").applyInArrow(find, "bucket int, sigs binary, classes binary")
+    found = posted.groupBy("bucket").applyInArrow(lean(find), "bucket int, sigs binary, classes binary")
     found.write.option("compression", "zstd").parquet(out)
     return spark.read.schema(found.schema).parquet(out)
 
@@ -238,7 +238,7 @@ def stars(found: DataFrame) -> DataFrame:
                 got = np.unique(np.stack([hub, cls], 1)[hub != cls], axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
-    return found.mapInArrow(pairs, "a long, b long").distinct()
+    return found.mapInArrow(lean(pairs), "a long, b long").distinct()
 
 
 def postings(found: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def postings(found: DataFrame) -> DataFrame:
             for s, c in zip(batch.column("sigs"), batch.column("classes"), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_py(), "<i8")), pa.array(np.frombuffer(c.as_py(), "<i8"))], names=["sig", "class"])
 
-    return found.mapInArrow(rows, "sig long, class long")
+    return found.mapInArrow(lean(rows), "sig long, class long")
 
 
 def dealt(found: DataFrame, comp: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def candidates(live: DataFrame, comp: DataFrame, known: DataFrame, percent: int,
         return pa.Table.from_arrays([pa.array(kinds), *[pa.array(np.ascontiguousarray(full[:, k])) for k in range(6)]], names=["kind", *(f"x{k}" for k in range(6))])
 
     live = live.withColumn("bucket", F.pmod(F.xxhash64("sig", "cell"), F.lit(buckets)))
-    out = materialize(live.groupBy("bucket").applyInArrow(name, "kind int, x0 long, x1 long, x2 long, x3 long, x4 long, x5 long"), "named")
+    out = materialize(live.groupBy("bucket").applyInArrow(lean(name), "kind int, x0 long, x1 long, x2 long, x3 long, x4 long, x5 long"), "named")
     pairs = out.where("kind = 0").select(F.col("x0").alias("a"), F.col("x1").alias("b")).distinct()
     return pairs, out.where("kind = 1").select(*[F.col(f"x{k}").alias(x) for k, x in enumerate(("sig", "cell", "part", "class", "at", "to"))])
 
@@ -374,7 +374,7 @@ def close(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             ok = pa.array(np.abs(one - two).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * size)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
-    return materialize(near.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(check, "a long, b long"), "pairs")
+    return materialize(near.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(lean(check), "a long, b long"), "pairs")
 
 
 def sets_of(docs: DataFrame, known: DataFrame, asked: DataFrame, n: int) -> DataFrame:
@@ -392,7 +392,7 @@ def sets_of(docs: DataFrame, known: DataFrame, asked: DataFrame, n: int) -> Data
                     out.append((c, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["class", "set"])
 
-    held = docs.select("doc_id", "text").join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("_llm_id"))).select("_llm_class", "text").mapInArrow(sets, "class long, set binary")
+    held = docs.select("doc_id", "text").join(hint(wanted), F.col("doc_id").eqNullSafe(F.col("_llm_id"))).select("_llm_class", "text").mapInArrow(lean(sets), "class long, set binary")
     return materialize(held.dropDuplicates(["class"]), "sets")
 
 
@@ -410,7 +410,7 @@ def linked(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             ok = np.array(ok, bool)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long"), "links")
 
 
 def sides(pairs: DataFrame) -> DataFrame:

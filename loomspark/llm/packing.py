@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize, stage
+from loomspark.llm.common import lean, materialize, stage
 from loomspark.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY,
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "row", *(["ids"] if keep_ids else [])]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids binary" if keep_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + (", ids binary" if keep_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -245,7 +245,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
         return table.select([f.name for f in keep]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     dealt = parts.withColumn("_llm_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    return dealt.groupBy("_llm_group").applyInArrow(solve, schema)
+    return dealt.groupBy("_llm_group").applyInArrow(lean(solve), schema)
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.blocks import documents, encoded, form, kind, loosen, small, split, squeeze, unsmall, write_blocks
-from loomspark.llm.common import delete, materialize, mix64, scratch_path, stage, tidy, word_hashes, word_spans
+from loomspark.llm.common import delete, lean, materialize, mix64, scratch_path, stage, tidy, word_hashes, word_spans
 
 #: A chunk has at least so many words, and at most MOST.
 LEAST, MOST = 4, 64
@@ -146,10 +146,10 @@ def owners(asked: DataFrame, blocks: int) -> DataFrame:
     rows = asked.withColumn("salt", salted(blocks)).withColumns({c: F.lit(None).cast("binary") for c in names[5:]}).select(*names)
     many = -(-blocks // FAN)
     while many > 1:
-        rows = rows.groupBy("shard", "salt").applyInArrow(merge(False), form_)
+        rows = rows.groupBy("shard", "salt").applyInArrow(lean(merge(False)), form_)
         many = -(-many // FAN)
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(many)).cast("int"))
-    rows = rows.withColumn("salt", F.lit(0)).groupBy("shard").applyInArrow(merge(True), form_)
+    rows = rows.withColumn("salt", F.lit(0)).groupBy("shard").applyInArrow(lean(merge(True)), form_)
     return materialize(rows.select("shard", "digest", "home", "doc"), "owners")
 
 
@@ -176,7 +176,7 @@ def answers(asked: DataFrame, owned: DataFrame, blocks: int) -> DataFrame:
 
     owned = owned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-blocks // FAN) - 1)))))
     asked = asked.select("block", "shard", "data").withColumn("salt", salted(blocks))
-    return owned.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(answer, "block long, data binary, owner binary, here binary")
+    return owned.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(lean(answer), "block long, data binary, owner binary, here binary")
 
 
 def repeats(docs: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
@@ -233,7 +233,7 @@ def repeats(docs: DataFrame, block: int = BLOCK, run: int = RUN) -> DataFrame:
             out.append(table)
         return pa.concat_tables(out)
 
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, form(docs) + ", removed_words long, spans array<struct<first:long,end:long>>, kept_in array<long>")
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lean(cut), form(docs) + ", removed_words long, spans array<struct<first:long,end:long>>, kept_in array<long>")
 
 
 def _without(text: bytes, stop: np.ndarray, runs: list[tuple[int, int]]) -> bytes:

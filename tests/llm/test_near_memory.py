@@ -59,3 +59,57 @@ def test_a_hot_signature_is_compared_in_bounded_memory():
         tracemalloc.stop()
     assert len(got[0]) == 6000
     assert most < 100 << 20
+
+
+def test_a_task_holds_few_pairs():
+    """The same pairs fit a third of that."""
+    rows = postings(2000, 2000)
+    done = np.full(2000, -1), np.zeros(2000, np.int64)
+    tracemalloc.start()
+    try:
+        got = nearest(rows, done, 3)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got[0]) == 6000
+    assert most < 33 << 20, most >> 20
+
+
+def test_workers_give_free_memory_back(spark):
+    """What a partition or a group took is not kept by the worker when it ends."""
+    import pyarrow as pa
+
+    from loomspark.llm import common
+
+    def resident() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("Anonymous:"))
+
+    def take():
+        many = [bytes(1000) for _ in range(200_000)]
+        return many[::50_000]  # what lives on lies above what goes
+
+    kept = []
+
+    def work(batches):
+        for b in batches:
+            kept.append(take())
+            yield b
+
+    def group(table):
+        kept.append(take())
+        return table
+
+    def pair(left, right):
+        kept.append(take())
+        return left
+
+    common.release()
+    before = resident()
+    table = pa.table({"a": [1]})
+    list(common.lean(work)(iter(table.to_batches())))
+    assert common.lean(group)(table) is table and common.lean(pair)(table, table) is table
+    assert resident() - before < 60_000
+    got = spark.range(10).mapInArrow(common.lean(lambda batches: (b for b in batches)), "id long")
+    assert got.count() == 10
+    assert got.groupBy("id").applyInArrow(common.lean(group), "id long").count() == 10
