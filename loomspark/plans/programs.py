@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from math import sqrt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +93,42 @@ def solve_two(sums: DataFrame) -> DataFrame:
     return sums.select(((c("x1y") * c("x2x2") - c("x2y") * c("x1x2")) / d).alias("w1"), ((c("x2y") * c("x1x1") - c("x1y") * c("x1x2")) / d).alias("w2"))
 
 
-def pagerank(edges: DataFrame, ranks: DataFrame, iterations: int = 1) -> DataFrame:
+#: Links in a partition.
+LINKS = 1 << 20
+
+
+def pagerank(edges: DataFrame, ranks: DataFrame | None = None, iterations: int = 1, parts: int | None = None) -> DataFrame:
     """Rows (id, rank): rank = 0.15 + 0.85 * sum of rank * weight over incoming edges (src, dst, weight).
 
-    A vertex without incoming edges leaves the table, as in the plain join; each round is written to the shared folder.
+    Without ``weight`` each vertex shares its rank equally among its edges; without ``ranks`` each begins with 1. A
+    vertex without incoming edges leaves the table, as in the plain join. Edges are dealt by src into ``parts`` (the
+    session's number if None) once and, for several rounds, kept on disk: a round moves a row a vertex to them and
+    what they send, summed by partition, and is written to the shared folder.
     """
-    spark = edges.sparkSession
-    for i in range(iterations):
-        ranks = edges.join(ranks, c("src") == c("id")).groupBy(c("dst").alias("id")).agg((F.sum(c("rank") * c("weight")) * 0.85 + 0.15).alias("rank"))
-        if i + 1 < iterations:
-            path = scratch(spark, "ranks")
-            ranks.write.parquet(path)
-            ranks = spark.read.parquet(path)
+    spark, weighted = edges.sparkSession, "weight" in edges.columns
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plain, edges = edges, edges.repartition(parts, "src")
+    if iterations > 1:
+        plain = edges = edges.persist(StorageLevel.DISK_ONLY)
+
+    def written(df: DataFrame, tag: str) -> DataFrame:
+        if iterations == 1:
+            return df
+        path = scratch(spark, tag)
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    try:
+        out = written(plain.groupBy(c("src").alias("id")).agg((F.lit(1.0) / F.count(F.lit(1))).alias("part")), "parts")
+        for _ in range(iterations):
+            here = out.withColumn("rank", F.lit(1.0)) if ranks is None else ranks if weighted else ranks.join(out, "id")
+            share = c("rank") * c("weight") if weighted else c("share")
+            here = here.select("id", c("rank") if weighted else (c("rank") * c("part")).alias("share")).repartition(parts, "id")
+            ranks = edges.join(here.hint("shuffle_hash"), c("src") == c("id")).groupBy(c("dst").alias("id")).agg((F.sum(share) * 0.85 + 0.15).alias("rank"))
+            ranks = written(ranks, "ranks")
+    finally:
+        if iterations > 1:
+            edges.unpersist()
     return ranks
 
 
@@ -134,11 +159,16 @@ def least_squares_fit(t: Tables) -> DataFrame:
     return out.select(F.round("w1", 4).alias("w1"), F.round("w2", 4).alias("w2"))
 
 
-def _edges(t: Tables) -> DataFrame:
-    """A link each way for every line of an order: customers have even ids, suppliers odd ones; parallel links stay."""
-    pairs = t.orders.join(t.lineitem, c("o_orderkey") == c("l_orderkey")).select((c("o_custkey") * 2).alias("src"), (c("l_suppkey") * 2 + 1).alias("dst"))
-    pairs = pairs.union(pairs.select("dst", "src"))
-    return pairs.join(pairs.groupBy("src").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight")), "src")
+def _edges(t: Tables) -> tuple[DataFrame, int]:
+    """A link each way for every line of an order: customers have even ids, suppliers odd ones; parallel links stay.
+
+    Also into how many partitions to deal them; their number is that of the lines at most, twice.
+    """
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * t.lineitem.count() // LINKS))
+    orders, lines = t.orders.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey"), t.lineitem.select("l_orderkey", "l_suppkey").repartition(parts, "l_orderkey")
+    a, b = c("o_custkey") * 2, c("l_suppkey") * 2 + 1
+    ways = F.array(F.struct(a.alias("src"), b.alias("dst")), F.struct(b.alias("src"), a.alias("dst")))
+    return orders.join(lines, c("o_orderkey") == c("l_orderkey")).select(F.inline(ways)), parts
 
 
 @query("""WITH p AS (SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
@@ -146,14 +176,14 @@ e AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p),
 w AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS weight FROM e)
 SELECT dst AS id, round(0.15 + 0.85 * sum(weight), 6) AS rank FROM w GROUP BY dst""")
 def pagerank_step(t: Tables) -> DataFrame:
-    edges = _edges(t)
-    return pagerank(edges, edges.select(c("src").alias("id")).distinct().withColumn("rank", F.lit(1.0))).select("id", F.round("rank", 6).alias("rank"))
+    edges, parts = _edges(t)
+    return pagerank(edges, parts=parts).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query()
 def pagerank_five(t: Tables) -> DataFrame:
-    edges = _edges(t)
-    return pagerank(edges, edges.select(c("src").alias("id")).distinct().withColumn("rank", F.lit(1.0)), 5)
+    edges, parts = _edges(t)
+    return pagerank(edges, iterations=5, parts=parts)
 
 
 def _labelled(t: Tables) -> DataFrame:
